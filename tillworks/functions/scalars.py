@@ -176,7 +176,10 @@ def sentiment_label(score: Column | str) -> Column:
 
 def clean_text(c: Column | str) -> Column:
     """Lower case, no URLs, only letters, digits and apostrophes, single spaces."""
-    no_urls = F.regexp_replace(F.lower(as_column(c)), URL, " ")
+    low = F.lower(as_column(c))
+    # Most texts hold no URL: a plain substring search spares them the pattern.
+    linked = F.contains(low, F.lit("http")) | F.contains(low, F.lit("www"))
+    no_urls = F.when(linked, F.regexp_replace(low, URL, " ")).otherwise(low)
     return F.coalesce(F.trim(F.regexp_replace(no_urls, NOT_WORD, " ")), F.lit(""))
 
 

@@ -56,42 +56,48 @@ def top_n(df: DataFrame, n: int, *order: Column, rank: str = "rank") -> DataFram
     return best.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 
-def standing(
-    df: DataFrame, keys: list[tuple[str, bool]], rank: str, buckets: int = 256
+def standings(
+    df: DataFrame, ranks: dict[str, list[tuple[str, bool]]], path: str, slices: int = 256
 ) -> DataFrame:
-    """Competition rank (ties share a place) without a one-task window.
-
-    ``keys`` is [(column, descending), ...]. Rows are first counted per distinct
-    key tuple, so a hot tuple becomes one row. The distinct tuples are split
-    into ``buckets`` equal slices of the first key's range; places are counted
-    inside each slice and shifted by the sizes of the better slices.
+    """Competition ranks (ties share a place) without a window over all rows.
+
+    ``ranks`` maps a rank name to its keys, [(column, descending), ...]. Rows are
+    first counted per distinct set of figures, so a figure shared by a third of
+    the rows becomes one row; that reduced table is written to ``path`` and every
+    rank is worked out on it. Its rows are cut into ``slices`` equal parts of the
+    first key's range; places are counted inside a slice and moved on by the
+    sizes of the better slices.
     """
-    lead, lead_desc = keys[0]
-    order = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in keys]
-    names = [c for c, _ in keys]
-
-    low, high = df.agg(F.min(lead)).scalar(), df.agg(F.max(lead)).scalar()
-    slice_no = F.floor(F.try_divide((F.col(lead) - low) * buckets, high - low))
-    tuples = (
-        df.groupBy(*names)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_slice", F.coalesce(slice_no, F.lit(0)))
-    )
-
-    slice_order = F.col("_slice").desc() if lead_desc else F.col("_slice").asc()
-    better = Window.orderBy(slice_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tuples.groupBy("_slice")
-        .agg(F.sum("_n").alias("_rows"))
-        .select("_slice", F.coalesce(F.sum("_rows").over(better), F.lit(0)).alias("_ahead"))
-    )
-    inside = (
-        Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # At most buckets + 1 offsets, whatever the data.
-    places = (
-        tuples.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), "_slice")
-        .select(*names, (F.col("_ahead") + F.col("_before") + 1).alias(rank))
-    )
-    return df.join(places, names)
+    spark = df.sparkSession
+    columns = sorted({c for keys in ranks.values() for c, _ in keys})
+    df.groupBy(*columns).agg(F.count("*").alias("_n")).write.parquet(path)
+    figures = spark.read.parquet(path)
+    placed = figures.drop("_n")
+    for rank, keys in ranks.items():
+        lead, descending = keys[0]
+        names = [c for c, _ in keys]
+        order = [F.col(c).desc() if down else F.col(c).asc() for c, down in keys]
+        low, high = figures.agg(F.min(lead)).scalar(), figures.agg(F.max(lead)).scalar()
+        cut = F.floor(F.try_divide((F.col(lead) - low) * slices, high - low))
+        tuples = (
+            figures.groupBy(*names)
+            .agg(F.sum("_n").alias("_n"))
+            .withColumn("_slice", F.coalesce(cut, F.lit(0)))
+        )
+        better = Window.orderBy(F.col("_slice").desc() if descending else F.col("_slice").asc())
+        inside = Window.partitionBy("_slice").orderBy(*order)
+        ahead = (
+            tuples.groupBy("_slice")
+            .agg(F.sum("_n").alias("_rows"))
+            .select(
+                "_slice",
+                (F.sum("_rows").over(better) - F.col("_rows")).alias("_ahead"),
+            )
+        )
+        # At most slices + 1 rows of offsets, whatever the data.
+        places = tuples.join(F.broadcast(ahead), "_slice").select(
+            *names,
+            (F.col("_ahead") + F.sum("_n").over(inside) - F.col("_n") + 1).alias(rank),
+        )
+        placed = placed.join(places, names)
+    return df.join(placed, columns)

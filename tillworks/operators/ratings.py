@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from tillworks.functions.filters import with_support
 from tillworks.functions.scalars import half_even, percent_of
-from tillworks.functions.stats import mean_of_rounded, pearson, standing
+from tillworks.functions.stats import mean_of_rounded, pearson, standings
+from tillworks.session import fresh_path
 
+OVERALL_RANKS = {
+    "best_rank": [("avg_review_score", True), ("total_reviews", True)],
+    "worst_rank": [("avg_review_score", False), ("total_reviews", True)],
+}
 COUNTS = ("total_reviews", "positive_reviews", "neutral_reviews", "negative_reviews")
 
 
@@ -79,14 +84,16 @@ def best_and_worst_by_month(by_category_month: DataFrame) -> DataFrame:
 def product_month_rankings(by_product_month: DataFrame, min_reviews: int = 5) -> DataFrame:
     """Products of a month with enough reviews and their place in four lists.
 
-    Products x months can be many, so places come from ``standing``, not from a
+    Products x months can be many, so places come from ``standings``, not from a
     single-task window. Products with the same figures share a place.
     """
     rows = with_percentages(with_support(by_product_month, min_reviews))
-    rows = standing(rows, [("avg_review_score", True), ("total_reviews", True)], "best_rank")
-    rows = standing(rows, [("avg_review_score", False), ("total_reviews", True)], "worst_rank")
-    rows = standing(rows, [("total_reviews", True)], "most_reviewed_rank")
-    return standing(rows, [("negative_pct", True), ("total_reviews", True)], "most_negative_rank")
+    ranks = {
+        **OVERALL_RANKS,
+        "most_reviewed_rank": [("total_reviews", True)],
+        "most_negative_rank": [("negative_pct", True), ("total_reviews", True)],
+    }
+    return standings(rows, ranks, fresh_path(rows.sparkSession, "product-month-figures"))
 
 
 def product_overall(by_product_month: DataFrame, min_total_reviews: int = 10) -> DataFrame:
@@ -104,8 +111,7 @@ def product_overall_rankings(by_product_month: DataFrame, min_total_reviews: int
     rows = product_overall(by_product_month, min_total_reviews).withColumn(
         "avg_review_score", half_even("avg_review_score", 6)
     )
-    rows = standing(rows, [("avg_review_score", True), ("total_reviews", True)], "best_rank")
-    return standing(rows, [("avg_review_score", False), ("total_reviews", True)], "worst_rank")
+    return standings(rows, OVERALL_RANKS, fresh_path(rows.sparkSession, "product-figures"))
 
 
 def review_kpis(by_category: DataFrame, sales_reviews: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from tillworks.plans import dashboards as dash
 from tillworks.plans import report
 from tillworks.plans.oracle_views import VIEWS, buckets, growth, mean, pct, pearson, trend, values
 from tillworks.plans.registry import query
+from tillworks.session import stored_mart
 from tillworks.sources.star_views import (
     TEST_TOPIC_THRESHOLD,
     lexicon,
@@ -44,24 +45,53 @@ def enriched(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def review_months(spark: SparkSession, d: str) -> DataFrame:
-    return reviews.category_month_mart(enriched(spark, d))
+def build_scored_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Enriched reviews without their texts: what the marts need."""
+    return enriched(spark, d).select(
+        "review_id", "review_date", "review_month", "review_score", "category", "has_text",
+        "sentiment_score", "sentiment_label", "topics", "topic_count",
+    )
 
 
-def topic_months(spark: SparkSession, d: str) -> DataFrame:
-    return reviews.topic_month_mart(text.explode_topics(enriched(spark, d)))
+def build_review_months(spark: SparkSession, d: str) -> DataFrame:
+    return reviews.category_month_mart(scored_reviews(spark, d))
 
 
-def combined(spark: SparkSession, d: str) -> DataFrame:
+def build_topic_months(spark: SparkSession, d: str) -> DataFrame:
+    return reviews.topic_month_mart(text.explode_topics(scored_reviews(spark, d)))
+
+
+def build_combined(spark: SparkSession, d: str) -> DataFrame:
     months = marts.category_months(sales_lines(spark, d, "category", "order_date", "sales"))
     sales = reviews.sales_by_month_and_key(months)
     return reviews.with_review_impact(reviews.combine_sales_and_reviews(sales, review_months(spark, d)))
 
 
-def segment_rows(spark: SparkSession, d: str) -> DataFrame:
+def build_segments(spark: SparkSession, d: str) -> DataFrame:
     return segments.segment_mart(combined(spark, d))
 
 
+# The tables dashboards and reports read: written once per session and folder.
+def scored_reviews(spark: SparkSession, d: str) -> DataFrame:
+    return stored_mart(spark, "scored_reviews", d, build_scored_reviews)
+
+
+def review_months(spark: SparkSession, d: str) -> DataFrame:
+    return stored_mart(spark, "review_months", d, build_review_months)
+
+
+def topic_months(spark: SparkSession, d: str) -> DataFrame:
+    return stored_mart(spark, "topic_months", d, build_topic_months)
+
+
+def combined(spark: SparkSession, d: str) -> DataFrame:
+    return stored_mart(spark, "combined", d, build_combined)
+
+
+def segment_rows(spark: SparkSession, d: str) -> DataFrame:
+    return stored_mart(spark, "segments", d, build_segments)
+
+
 def summary_of_both(spark: SparkSession, d: str) -> DataFrame:
     return marts.sales_review_summary(
         sales_lines(spark, d, "category", "sales", "order_id"), review_events(spark, d)
@@ -355,7 +385,7 @@ def sentiment_rules(spark: SparkSession, d: str) -> DataFrame:
     "SELECT category, sentiment_label, count(*) AS n FROM enriched GROUP BY category, sentiment_label",
 )
 def sentiment_label_counts(spark: SparkSession, d: str) -> DataFrame:
-    return enriched(spark, d).groupBy("category", "sentiment_label").agg(F.count("*").alias("n"))
+    return scored_reviews(spark, d).groupBy("category", "sentiment_label").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -387,7 +417,7 @@ def topic_topn_arrays(spark: SparkSession, d: str) -> DataFrame:
   topic, score AS topic_similarity_score FROM enriched JOIN topic_rows USING (review_id)""",
 )
 def topic_explode(spark: SparkSession, d: str) -> DataFrame:
-    return text.explode_topics(enriched(spark, d)).select(
+    return text.explode_topics(scored_reviews(spark, d)).select(
         "review_id", "review_date", "review_month", "review_score", "category", "sentiment_score", "sentiment_label", "topic", "topic_similarity_score"
     )
 
@@ -407,17 +437,17 @@ def reviews_enriched(spark: SparkSession, d: str) -> DataFrame:
 
 @query("review_category_month_mart", ("review_months",), "SELECT * FROM review_months")
 def review_category_month_mart(spark: SparkSession, d: str) -> DataFrame:
-    return review_months(spark, d)
+    return build_review_months(spark, d)
 
 
 @query("topic_category_month_mart", ("topic_months",), "SELECT * FROM topic_months")
 def topic_category_month_mart(spark: SparkSession, d: str) -> DataFrame:
-    return topic_months(spark, d)
+    return build_topic_months(spark, d)
 
 
 @query("sales_review_combined", ("combined",), "SELECT * EXCLUDE (review_impact_score) FROM combined")
 def sales_review_combined(spark: SparkSession, d: str) -> DataFrame:
-    return reviews.ready_to_save(combined(spark, d)).drop("review_impact_score")
+    return reviews.ready_to_save(build_combined(spark, d)).drop("review_impact_score")
 
 
 @query("review_impact", ("combined",), "SELECT sales_month, category, review_impact_score FROM combined")
@@ -579,7 +609,7 @@ def segment_ratios(spark: SparkSession, d: str) -> DataFrame:
 
 @query("segment_text", ("advice",), f"SELECT {SEGMENT_COLUMNS}, {RATIOS}, insight, recommendation FROM advice")
 def segment_text(spark: SparkSession, d: str) -> DataFrame:
-    return segment_rows(spark, d)
+    return build_segments(spark, d)
 
 
 # --- report ---------------------------------------------------------------

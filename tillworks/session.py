@@ -6,6 +6,7 @@ import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,33 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df), True
     return df, False
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over all cores when the scan has fewer parts.
+
+    A file with one row group is read by one task, and text work on it would
+    stay there. A scan that already has enough parts, as large data always has,
+    is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+_MARTS: dict[tuple[str, str, str], str] = {}
+
+
+def stored_mart(
+    spark: SparkSession, name: str, source: str, build: Callable[[SparkSession, str], DataFrame]
+) -> DataFrame:
+    """A mart written once per session and source folder, then read back.
+
+    Dashboards and reports read marts; they do not rebuild them per request. The
+    written table also ends the lineage, so a lost executor re-reads a file.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _MARTS:
+        path = fresh_path(spark, f"mart-{name}")
+        build(spark, source).write.parquet(path)
+        _MARTS[key] = path
+    return spark.read.parquet(_MARTS[key])

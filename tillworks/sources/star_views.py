@@ -23,6 +23,7 @@ from tillworks.functions.scalars import (
     month_start,
     tokens_of,
 )
+from tillworks.session import spread
 
 REVIEW_START = "1998-01-01"
 REVIEW_DAYS = 1096
@@ -145,7 +146,7 @@ def review_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def review_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_vectors = read_table(spark, sf_dir, "embeddings").agg(F.count("*")).scalar()
-    docs = read_table(spark, sf_dir, "documents").select(
+    docs = spread(read_table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("review_id"),
         _spread_date("doc_id").alias("review_date"),
         (F.lit(1) + F.col("n_chars") % 5).cast("int").alias("review_score"),
@@ -192,7 +193,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     It grows with the texts, so nothing may broadcast it unchecked.
     """
-    words = read_table(spark, sf_dir, "documents").select(
+    words = spread(read_table(spark, sf_dir, "documents")).select(
         F.explode(tokens_of(clean_text("text"))).alias("token")
     )
     valence = ((F.length("token") % 5 - 2).cast("decimal(4,1)") * F.lit("0.9").cast("decimal(2,1)"))
