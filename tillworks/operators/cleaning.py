@@ -27,6 +27,7 @@ REVIEW_TEXT = (
 )
 
 
+
 def trim_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Trim text; blanks become NULL and NULL stays NULL."""
     return df.withColumns({c: blank_to_null(c) for c in columns if c in df.columns})
@@ -76,6 +77,12 @@ def clean_reviews(
     return without_categories(within_years(typed, years), excluded)
 
 
+def with_review_id(reviews: DataFrame) -> DataFrame:
+    """Give every review its own id, exact copies too. Write the result before
+    using the id twice: it is drawn once per run."""
+    return reviews.withColumn("review_id", F.uuid())
+
+
 def within_years(reviews: DataFrame, years: Iterable[int] | None, column: str = "review_date") -> DataFrame:
     """Drop reviews of other years; undated reviews stay."""
     if not years:
