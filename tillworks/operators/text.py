@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillworks.functions import lookups
 from tillworks.functions.scalars import (
@@ -218,7 +219,8 @@ def encode_texts(
     ``encoder()`` runs once per task and returns a function from a list of texts
     to a list of vectors.
     """
-    schema = reviews.schema.add("embedding", "array<float>")
+    vector = T.StructField("embedding", T.ArrayType(T.FloatType()))
+    schema = T.StructType([*reviews.schema.fields, vector])
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embed = encoder()

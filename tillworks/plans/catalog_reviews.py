@@ -30,9 +30,9 @@ TAXONOMY_TYPES = ("small ring", "red widget", "blue widget", "large gear", "gree
 CATEGORY_MAP = {
     "ECONOMY": "Value", "PROMO": "Value", "SMALL": "Compact", "MEDIUM": "Eggs, Meat & Fish", "Brand#1": "House", "Brand#2": "House",
 }
-REPORT_YEAR = 2000
-REVIEW_PERIOD = {"year": 1999, "months": [1, 2, 3, 10], "categories": ["economy", "promo", "small", "large"]}
-REVIEW_WHERE = "year({m}) = 1999 AND month({m}) IN (1, 2, 3, 10) AND category IN ('economy', 'promo', 'small', 'large')"
+REPORT_YEAR = 1998
+REVIEW_PERIOD = {"year": 1998, "months": [1, 2, 3, 6], "categories": ["economy", "promo", "small", "large"]}
+REVIEW_WHERE = "year({m}) = 1998 AND month({m}) IN (1, 2, 3, 6) AND category IN ('economy', 'promo', 'small', 'large')"
 
 
 # --- frames ---------------------------------------------------------------
@@ -513,10 +513,10 @@ def review_cards(spark: SparkSession, d: str) -> DataFrame:
     ("review_months",),
     """SELECT CAST(month(review_month) AS INTEGER) AS month_number, strftime(review_month, '%B') AS month_name,
   sum(positive_reviews)::BIGINT AS positive_reviews, sum(neutral_reviews)::BIGINT AS neutral_reviews, sum(negative_reviews)::BIGINT AS negative_reviews
-FROM review_months WHERE year(review_month) = 1999 GROUP BY 1, 2""",
+FROM review_months WHERE year(review_month) = 1998 GROUP BY 1, 2""",
 )
 def review_direction(spark: SparkSession, d: str) -> DataFrame:
-    return dash.review_direction(review_months(spark, d), 1999)
+    return dash.review_direction(review_months(spark, d), 1998)
 
 
 CELLS = f"""(SELECT sales_month, category, sum(CAST(total_sales AS DECIMAL(28,4))) AS total_sales, sum(total_transactions)::BIGINT AS total_transactions,
