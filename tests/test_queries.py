@@ -1,10 +1,13 @@
 """Every registered query against its SQL in DuckDB, on the smallest tables."""
 
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
-from conftest import SF
+from conftest import ROOT, SF
 from tillworks.sources import star_views
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -53,3 +56,18 @@ def test_results_do_not_depend_on_partitions(spark):
         assert sorted(map(str, QUERIES[name](spark, SF).collect())) == before
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_models_run_without_the_package_on_the_executors(tmp_path):
+    """Python workers start with another working directory on a cluster."""
+    script = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "import __spark_entry__ as e\n"
+        "from tillworks.session import local_session\n"
+        "spark = local_session(2, 2)\n"
+        "print(e.queries()['forecast_sales_by_series'](spark, sys.argv[2]).count() > 0)\n"
+    )
+    done = subprocess.run(
+        [sys.executable, "-c", script, ROOT, SF], cwd=tmp_path, capture_output=True, text=True, timeout=300
+    )
+    assert done.stdout.strip().endswith("True"), done.stderr[-2000:]

@@ -174,13 +174,17 @@ def sentiment_label(score: Column | str) -> Column:
 # --- text -----------------------------------------------------------------
 
 
-def clean_text(c: Column | str) -> Column:
-    """Lower case, no URLs, only letters, digits and apostrophes, single spaces."""
+def without_urls(c: Column | str) -> Column:
+    """Lower case without URLs."""
     low = F.lower(as_column(c))
     # Most texts hold no URL: a plain substring search spares them the pattern.
     linked = F.contains(low, F.lit("http")) | F.contains(low, F.lit("www"))
-    no_urls = F.when(linked, F.regexp_replace(low, URL, " ")).otherwise(low)
-    return F.coalesce(F.trim(F.regexp_replace(no_urls, NOT_WORD, " ")), F.lit(""))
+    return F.when(linked, F.regexp_replace(low, URL, " ")).otherwise(low)
+
+
+def clean_text(c: Column | str) -> Column:
+    """Lower case, no URLs, only letters, digits and apostrophes, single spaces."""
+    return F.coalesce(F.trim(F.regexp_replace(without_urls(c), NOT_WORD, " ")), F.lit(""))
 
 
 def tokens_of(clean: Column | str) -> Column:

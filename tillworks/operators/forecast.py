@@ -6,16 +6,21 @@ however large the fact is. Work is spread over series, never gathered.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillworks.functions.scalars import half_even, month_start
 
+# Tasks get this module's functions with the task; executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HORIZON = 12
 SHARE_MONTHS = 6
 MIN_ROWS = 12
@@ -226,10 +231,14 @@ def _grow(x: np.ndarray, residual: np.ndarray, columns: np.ndarray, depth: int):
     )
 
 
-def _walk(tree, row: np.ndarray) -> float:
-    while isinstance(tree, tuple):
-        tree = tree[2] if row[tree[0]] < tree[1] else tree[3]
-    return tree
+def _values(tree, x: np.ndarray) -> np.ndarray:
+    """The tree's value for every row."""
+    if not isinstance(tree, tuple):
+        return np.full(len(x), tree)
+    column, edge, below, above = tree
+    low, out = x[:, column] < edge, np.empty(len(x))
+    out[low], out[~low] = _values(below, x[low]), _values(above, x[~low])
+    return out
 
 
 def _boosted(x: np.ndarray, y: np.ndarray, seed: int, trees: int, depth: int, rate: float, sample: float):
@@ -243,9 +252,9 @@ def _boosted(x: np.ndarray, y: np.ndarray, seed: int, trees: int, depth: int, ra
         if not rows.any():
             continue
         tree = _grow(x[rows], (y - fitted)[rows], columns, depth)
-        fitted += rate * np.array([_walk(tree, r) for r in x])
+        fitted += rate * _values(tree, x)
         forest.append(tree)
-    return lambda rows: np.array([base + rate * sum(_walk(t, r) for t in forest) for r in rows])
+    return lambda rows: base + rate * sum((_values(t, rows) for t in forest), np.zeros(len(rows)))
 
 
 def _forecast(monthly: DataFrame, series: Sequence[str], value: str, fit, lags, means, horizon, refit, min_rows):
@@ -289,7 +298,10 @@ def _forecast(monthly: DataFrame, series: Sequence[str], value: str, fit, lags,
         return pd.DataFrame(rows, columns=columns)
 
     typed = monthly.select(*series, "sales_month", F.col(value).cast("double").alias(value)).dropna()
-    return typed.groupBy(*series).applyInPandas(one_series, schema)
+    # Fitting is the cost here, not bytes: a fixed number of parts keeps AQE from
+    # folding the small shuffle into one task.
+    parts = int(monthly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return typed.repartition(parts, *series).groupBy(*series).applyInPandas(one_series, schema)
 
 
 def forecast_sales(

@@ -6,15 +6,18 @@ set; topics compare vectors inside the row, without any shuffle.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillworks.functions import lookups
 from tillworks.functions.scalars import (
+    NOT_WORD,
     as_column,
     category_key,
     clean_text,
@@ -22,9 +25,13 @@ from tillworks.functions.scalars import (
     month_start,
     sentiment_label,
     tokens_of,
+    without_urls,
 )
 from tillworks.session import broadcast_if_bounded
 
+# Tasks get this module's functions with the task; executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOPIC_TYPE = "array<struct<topic:string,score:double>>"
 
 
@@ -38,6 +45,19 @@ def compound(total: Column | str) -> Column:
     return half_even(F.greatest(F.least(squashed, F.lit(1.0)), F.lit(-1.0)), 4)
 
 
+def exploded_words(texts: DataFrame, text_col: str) -> DataFrame:
+    """One row per word of the cleaned text.
+
+    The text is cut at the same places where cleaning would leave a space, which
+    spares one pass over it.
+    """
+    kept = [c for c in texts.columns if c != text_col]
+    plain = texts.select(*kept, without_urls(text_col).alias("_plain"))
+    return plain.select(*kept, F.explode(F.split("_plain", NOT_WORD)).alias("token")).filter(
+        F.col("token") != ""
+    )
+
+
 def sentiment_scores(
     reviews: DataFrame,
     lexicon: DataFrame,
@@ -53,7 +73,7 @@ def sentiment_scores(
     review, so that a word used in every text arrives once per review, and the
     counts are joined by word; AQE splits a skewed word.
     """
-    words = reviews.select(id_col, F.explode(tokens_of(clean_text(text_col))).alias("token"))
+    words = exploded_words(reviews.select(id_col, text_col), text_col)
     small = False
     if check_size:
         lexicon, small = broadcast_if_bounded(lexicon)
@@ -111,14 +131,19 @@ def rank_topics(
     packed = topics.agg(
         F.sort_array(F.collect_list(F.struct("topic_no", "topic", unit.alias("unit"))))
     ).scalar()
-    v = F.col(vector).cast("array<double>")
-    rows = reviews.withColumns({"_topics": packed, "_vector": v}).withColumn(
-        "_length", F.sqrt(_dot(F.col("_vector"), F.col("_vector")))
+    rows = reviews.withColumns(
+        {"_topics": packed, "_vector": F.col(vector).cast("array<double>")}
+    )
+    v = F.col("_vector")
+    dots = F.transform(
+        "_topics",
+        lambda t: F.struct(t["topic_no"].alias("topic_no"), t["topic"].alias("topic"), _dot(v, t["unit"]).alias("dot")),
     )
+    # The review's own length is worked out once and repeated, not once per topic.
+    lengths = F.array_repeat(F.sqrt(_dot(v, v)), F.size("_topics"))
 
-    def scored(t: Column) -> Column:
-        cosine = F.try_divide(_dot(F.col("_vector"), t["unit"]), F.col("_length"))
-        score = F.round(F.coalesce(cosine, F.lit(0.0)), 4)
+    def scored(t: Column, length: Column) -> Column:
+        score = F.round(F.coalesce(F.try_divide(t["dot"], length), F.lit(0.0)), 4)
         return F.struct(
             (-score).alias("order"),
             t["topic_no"].alias("topic_no"),
@@ -126,7 +151,7 @@ def rank_topics(
             score.alias("score"),
         )
 
-    passing = F.filter(F.transform("_topics", scored), lambda s: s["score"] >= threshold)
+    passing = F.filter(F.zip_with(dots, lengths, scored), lambda s: s["score"] >= threshold)
     best = F.transform(
         F.slice(F.sort_array(passing), 1, top_n),
         lambda s: F.struct(s["topic"].alias("topic"), s["score"].alias("score")),
@@ -139,7 +164,7 @@ def rank_topics(
     if is_empty is not None:
         nothing = nothing | is_empty
     return rows.withColumn("topics", F.when(nothing, other).otherwise(F.col("topics"))).drop(
-        "_topics", "_vector", "_length"
+        "_topics", "_vector"
     )
 
 
@@ -274,7 +299,8 @@ def rule_sentiment_scores(
     # A modifier that has a valence is an ordinary word; the list is a literal.
     active = listed.join(lexicon, F.col("word") == F.col("token"), "left_anti")
 
-    words = reviews.select(id_col, rule_tokens(clean_text(text_col)).alias("words"))
+    cleaned = reviews.select(id_col, clean_text(text_col).alias("_clean"))
+    words = cleaned.select(id_col, rule_tokens("_clean").alias("words"))
     at = F.array_position("words", F.lit(contrast)) - 1
     uses = words.withColumn("turn", F.when(at >= 0, at)).select(
         id_col,

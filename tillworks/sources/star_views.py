@@ -18,11 +18,10 @@ from pyspark.sql import functions as F
 from tillworks.functions import lookups
 from tillworks.functions.scalars import (
     category_key,
-    clean_text,
     compact_key,
     month_start,
-    tokens_of,
 )
+from tillworks.operators.text import exploded_words
 from tillworks.session import spread
 
 REVIEW_START = "1998-01-01"
@@ -193,8 +192,6 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     It grows with the texts, so nothing may broadcast it unchecked.
     """
-    words = spread(read_table(spark, sf_dir, "documents")).select(
-        F.explode(tokens_of(clean_text("text"))).alias("token")
-    )
+    words = exploded_words(spread(read_table(spark, sf_dir, "documents")).select("text"), "text")
     valence = ((F.length("token") % 5 - 2).cast("decimal(4,1)") * F.lit("0.9").cast("decimal(2,1)"))
     return words.distinct().select("token", valence.cast("double").alias("valence"))
