@@ -132,6 +132,13 @@ def test_duplicates_are_reported(spark):
     assert [tuple(r) for r in cleaning.duplicate_orders(df).collect()] == [("a", 2)]
 
 
+def test_last_load_of_an_order_wins(spark):
+    rows = [("a", 1, 5.0), ("a", 2, 7.0), ("b", 1, 1.0), (None, 1, 2.0), (None, 1, 2.0)]
+    df = spark.createDataFrame(rows, "order_id string, loaded_at int, sales double")
+    got = sorted(map(tuple, cleaning.last_per_order(df, "loaded_at").collect()), key=str)
+    assert got == [("a", 2, 7.0), ("b", 1, 1.0), (None, 1, 2.0), (None, 1, 2.0)]
+
+
 def test_streamed_uploads_load_once(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

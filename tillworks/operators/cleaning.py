@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillworks.functions import lookups
@@ -159,6 +159,13 @@ def duplicate_orders(sales: DataFrame) -> DataFrame:
 
 
 def last_per_order(sales: DataFrame, arrival: str) -> DataFrame:
-    """One row per order id, the one that arrived last."""
-    newest = Window.partitionBy("order_id").orderBy(F.col(arrival).desc())
-    return sales.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+    """One row per order id, the one that arrived last; the other columns settle ties.
+
+    max over a struct combines before the shuffle, so an id repeated in a third
+    of all rows sends one row per task. Rows without an id are all kept.
+    """
+    rest = [c for c in sales.columns if c not in ("order_id", arrival)]
+    newest = F.max(F.struct(arrival, *rest)).alias("row")
+    known = sales.filter(F.col("order_id").isNotNull()).groupBy("order_id").agg(newest)
+    picked = known.select("order_id", F.col(f"row.{arrival}"), *[F.col(f"row.{c}") for c in rest])
+    return picked.unionByName(sales.filter(F.col("order_id").isNull()))

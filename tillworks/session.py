@@ -39,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master without that setting (tests, the benchmark) falls back
     to a temporary folder; executors on other machines could not read one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
