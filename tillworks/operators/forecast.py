@@ -300,7 +300,7 @@ def _forecast(monthly: DataFrame, series: Sequence[str], value: str, fit, lags,
     typed = monthly.select(*series, "sales_month", F.col(value).cast("double").alias(value)).dropna()
     # Fitting is the cost here, not bytes: a fixed number of parts keeps AQE from
     # folding the small shuffle into one task.
-    parts = int(monthly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = monthly.sparkSession.sparkContext.defaultParallelism
     return typed.repartition(parts, *series).groupBy(*series).applyInPandas(one_series, schema)
 
 

@@ -16,7 +16,6 @@ from tillworks.session import stored_mart
 from tillworks.sources.star_views import (
     TEST_TOPIC_THRESHOLD,
     lexicon,
-    read_table,
     review_docs,
     review_events,
     review_vectors,

@@ -14,7 +14,6 @@ from tillworks.functions.filters import ALL_CATEGORIES, by_category_key, by_date
 from tillworks.functions.scalars import (
     growth_percent,
     half_even,
-    money,
     money2,
     safe_ratio,
     trend_label,
