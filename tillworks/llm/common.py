@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES)
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(column).to_numpy(zero_copy_only=False), float))
+        sizes = np.nan_to_num(np.asarray(pc.binary_length(column).to_numpy(zero_copy_only=False), float))
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:

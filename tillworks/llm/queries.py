@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import exact_dedup, preferences, warc
+from tillworks.llm import decontamination, exact_dedup, preferences, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,11 @@ FROM normal WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, copied or edited, with the aligned span."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen conversations against their echoed copies, shared turns rendered once."""
     return preferences.format_preferences(*preferences.echo_pairs(table(spark, sf_dir, "conversations")))
@@ -92,10 +97,17 @@ FROM placed p JOIN shared s USING (pair_id)
 WHERE p.place >= s.shared OR p.part = 'chosen'
 """
 
+def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_warc_revisits": op2_warc_revisits,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_decontamination": op5_decontamination,
     "op7_preference_format": op7_preference_format,
+    "op8_simhash_components": op8_simhash_components,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_revisits": OP2_SQL,
