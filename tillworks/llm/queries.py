@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import decontamination, exact_dedup, preferences, simhash, warc
+from tillworks.llm import decontamination, exact_dedup, preferences, resampling, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,12 +102,24 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling towards good text keeps."""
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by compression distance."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_warc_revisits": op2_warc_revisits,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_decontamination": op5_decontamination,
     "op7_preference_format": op7_preference_format,
     "op8_simhash_components": op8_simhash_components,
+    "op9_importance_resampling": op9_importance_resampling,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_revisits": OP2_SQL,
