@@ -122,7 +122,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-_TABLE: dict[int, np.ndarray] = {}
+class Scratch(dict):
+    """What a worker keeps between batches; it travels empty."""
+
+    def __reduce__(self):
+        return Scratch, ()
+
+
+_TABLE = Scratch()
 
 
 def _powers_upto(base: int, n: int) -> np.ndarray:

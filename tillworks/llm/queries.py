@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import decontamination, exact_dedup, preferences, resampling, simhash, toxicity, warc
+from tillworks.llm import decontamination, exact_dedup, packing, preferences, resampling, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed along the Hilbert curve into sequences of 2048 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write deduplicated archives of all pages and read every record back."""
     path = warc.deduplicated_archives(table(spark, sf_dir, "pages"), min_bytes=0)
@@ -113,6 +118,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_curve_packing": op1_curve_packing,
     "op2_warc_revisits": op2_warc_revisits,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_decontamination": op5_decontamination,
