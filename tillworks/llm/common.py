@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,14 @@ def place_in_group(df: DataFrame, group: list[str], order: list[str], block: Col
     return joined.select("l.*", (F.col("r._before") + F.col("l._inside")).cast("long").alias(name)).drop("_block", "_inside")
 
 
+def keep_rows(df: DataFrame, keys: list[Column], wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose keys are among the rows of ``wanted``, null equal to null; all columns stay."""
+    names = [f"_{uuid.uuid4().hex}" for _ in keys]  # clash with no column
+    right = wanted.toDF(*names)
+    same = reduce(Column.__and__, (key.eqNullSafe(F.col(name)) for key, name in zip(keys, names)))
+    return df.join(right, same, "left_semi")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column and where each row begins; null counts as empty."""
     if column.null_count:

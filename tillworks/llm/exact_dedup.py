@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillworks.llm.common import staged, text_of
+from tillworks.llm.common import keep_rows, staged, text_of
 
 SPACES = r"[\x20\x09-\x0D]+"
 RUNS = 64
@@ -83,7 +83,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select("doc_id", "text_sha256").distinct()
+    kept = exact_groups(docs, id_col, text_col).where("kept").select("doc_id", "text_sha256")
     own = F.sha2(F.regexp_replace(text_of(text_col), SPACES, " "), 256)
-    same = F.col(id_col).eqNullSafe(kept["doc_id"]) & (own == kept["text_sha256"])
-    return docs.join(kept, same, "left_semi")
+    return keep_rows(docs, [F.col(id_col), own], kept)

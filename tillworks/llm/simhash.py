@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillworks.llm.common import lower_ascii, runs_of, staged, steps, utf8, word_spans
+from tillworks.llm.common import keep_rows, lower_ascii, runs_of, staged, steps, utf8, word_spans
 from tillworks.llm.components import components
 
 WORDS = 4
@@ -289,5 +289,5 @@ def near_components(docs: DataFrame, words: int = WORDS, bits: int = MAX_BITS) -
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that name their component, with all their columns."""
-    names = near_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(names, docs["doc_id"].eqNullSafe(names["doc_id"]), "left_semi")
+    names = near_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    return keep_rows(docs, [F.col("doc_id")], names)
