@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import decontamination, exact_dedup, packing, preferences, resampling, simhash, toxicity, warc
+from tillworks.llm import decontamination, exact_dedup, interpolation_lm, packing, preferences, resampling, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,11 @@ FROM normal WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the interpolated model and the base model."""
+    return interpolation_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, copied or edited, with the aligned span."""
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -121,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op1_curve_packing": op1_curve_packing,
     "op2_warc_revisits": op2_warc_revisits,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_deleted_interpolation": op4_deleted_interpolation,
     "op5_decontamination": op5_decontamination,
     "op7_preference_format": op7_preference_format,
     "op8_simhash_components": op8_simhash_components,
