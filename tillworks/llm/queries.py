@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import decontamination, exact_dedup, interpolation_lm, packing, preferences, resampling, simhash, toxicity, warc
+from tillworks.llm import decontamination, exact_dedup, interpolation_lm, packing, preferences, resampling, simhash, suffix_dedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages that an earlier one has."""
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen conversations against their echoed copies, shared turns rendered once."""
     return preferences.format_preferences(*preferences.echo_pairs(table(spark, sf_dir, "conversations")))
@@ -128,6 +133,7 @@ QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_deleted_interpolation": op4_deleted_interpolation,
     "op5_decontamination": op5_decontamination,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_preference_format": op7_preference_format,
     "op8_simhash_components": op8_simhash_components,
     "op9_importance_resampling": op9_importance_resampling,
