@@ -161,8 +161,6 @@ def mixture(rows: np.ndarray, rounds: int = 200) -> np.ndarray:
     use the weights of all buckets together, unseen contexts no bigram.
     """
     buckets = 64
-    if not len(rows):
-        return np.tile(DEFAULT, (buckets, 1))
     p = np.stack([np.where(rows[:, i] == NONE, 0.0, 10.0 ** (rows[:, i] / RESOLUTION)) for i in (1, 2)] + [np.ones(len(rows))], 1)
 
     def learned(chosen: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -177,7 +175,8 @@ def mixture(rows: np.ndarray, rounds: int = 200) -> np.ndarray:
             weights = new
         return weights
 
-    out = np.tile(learned(np.ones(len(rows), bool), DEFAULT), (buckets, 1))
+    together = learned(np.ones(len(rows), bool), DEFAULT) if len(rows) else DEFAULT
+    out = np.tile(together, (buckets, 1))
     for bucket in range(buckets):
         chosen = rows[:, 0] == bucket
         if chosen.any():

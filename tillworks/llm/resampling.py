@@ -68,7 +68,7 @@ def log_ratios(docs: DataFrame, target: np.ndarray) -> np.ndarray:
 def _weighted(batches: Iterator[pa.RecordBatch], ratios: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches, "text"):
         buckets, rows = hashed_ngrams(batch.column(1))
-        weight = np.bincount(rows, ratios[buckets], batch.num_rows)
+        weight = np.bincount(rows, ratios[buckets], batch.num_rows).astype(float)  # whole numbers if there are no words
         count = np.bincount(rows, minlength=batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(weight)], ["doc_id", "n_ngrams", "log_weight"])
 
