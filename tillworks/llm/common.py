@@ -146,7 +146,7 @@ def _powers_upto(base: int, n: int) -> np.ndarray:
     have = _TABLE.get(base)
     if have is None or len(have) < n:
         have = _powers(base, max(n, STEP_BYTES + 1))
-        if n <= 4 * STEP_BYTES:
+        if n <= STEP_BYTES + 1:
             _TABLE[base] = have
     return have[:n]
 
@@ -172,6 +172,18 @@ def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[begins]) * shift[begins] + size * np.uint64(0xD6E8FEB86659FD93))
 
 
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` bytes at every place where so many follow; not those of span_hashes."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * _powers_upto(_ODD, len(data)), out=sums[1:])
+    out = sums[size:] - sums[:-size]
+    out *= _powers_upto(_INVERSE, len(out))
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(29)
+    return out
+
+
 def runs_of(values: np.ndarray) -> np.ndarray:
     """Where runs of equal neighbours begin, and the length as the last entry."""
     if not len(values):
