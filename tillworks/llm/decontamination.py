@@ -21,13 +21,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillworks.llm.common import lower_ascii, mix, runs_of, span_hashes, spread_ranges, steps, utf8
 
 N = 3
-WINDOW = 4
+WINDOW = 2
 MIN_SCORE = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 2 << 20
@@ -77,7 +78,7 @@ class Items:
 
 
 def index_items(ids: list[int], texts: list[str | None], n: int = N) -> Items:
-    data, offsets = utf8(pa.array(texts, pa.string()))
+    data, offsets = utf8(folded(pa.array(texts, pa.string())))
     begins, ends, rows = plain_words(data, offsets)
     words = span_hashes(lower_ascii(data), begins, ends)
     keys, places = grams(words, rows, n)
@@ -86,8 +87,14 @@ def index_items(ids: list[int], texts: list[str | None], n: int = N) -> Items:
     return Items(np.array(ids, np.int64), bounds, words, keys[order], places[order])
 
 
+def folded(column: pa.Array) -> pa.Array:
+    """Lower case, where that keeps the length in bytes, so that spans hold for the text itself."""
+    lower = pc.utf8_lower(column)
+    return pc.if_else(pc.equal(pc.binary_length(lower), pc.binary_length(column)), lower, column)
+
+
 def _word_hashes(column: pa.Array):
-    data, offsets = utf8(column)
+    data, offsets = utf8(folded(column))
     begins, ends, rows = plain_words(data, offsets)
     return begins, ends, rows, span_hashes(lower_ascii(data), begins, ends), offsets
 
