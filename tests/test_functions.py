@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillworks.functions import filters, lookups, scalars, stats
 from tillworks.operators import cleaning, dimensions, marts, ratings, reviews, segments
 from tillworks.plans import dashboards, report
-from tillworks.session import broadcast_if_bounded, fresh_path, spread
+from tillworks.session import broadcast_if_bounded, fresh_path
 
 
 def one(df):
@@ -217,7 +217,18 @@ def test_broadcast_only_when_counted_small(spark):
     assert broadcast_if_bounded(spark.range(11), 10)[1] is False
 
 
-def test_spread_leaves_wide_scans_alone(spark):
-    wide = spark.range(0, 100, 1, 64)
-    assert spread(wide).rdd.getNumPartitions() == 64
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_standings_keep_rows_without_a_figure(spark):
+    df = spark.createDataFrame([(1, 2.0, 1), (2, None, 5), (3, 3.0, None), (4, None, 5)], "id int, score double, n int")
+    keys = {"best": [("score", True), ("n", True)], "worst": [("score", False), ("n", False)]}
+    got = {r.id: (r.best, r.worst) for r in stats.standings(df, keys, fresh_path(spark, "figures")).collect()}
+    assert got == {1: (2, 1), 2: (3, 3), 3: (1, 2), 4: (3, 3)}
+
+
+def test_dates_and_numbers_in_several_forms(spark):
+    texts = ["2017-08-11", "08/11/2017", "08-11-2017", "2017/08/11", "11.08.2017", "2017-08-11 10:00:00", " 2017-08-11 ", "8th", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(scalars.to_date_or_null("t")).collect()]
+    assert got == [day("2017-08-11")] * 7 + [None] * 3
+    numbers = spark.createDataFrame([(t,) for t in ["5", "5.0", " 4 ", "x", None, "1182729600.0"]], "t string")
+    assert [r[0] for r in numbers.select(scalars.to_int_or_null("t")).collect()] == [5, 5, 4, None, None, 1182729600]
+    assert numbers.select(scalars.to_bigint_or_null("t")).collect()[5][0] == 1182729600

@@ -151,3 +151,18 @@ def test_streamed_uploads_load_once(spark, tmp_path):
     streaming.stream_to_raw(spark, str(folder), "sales", raw, state).awaitTermination(120)
     rows = spark.read.parquet(raw)
     assert rows.count() == 5 and rows.select("batch_id").distinct().count() == 2
+
+
+def test_files_with_reordered_headers_are_united_by_name(spark, tmp_path):
+    write(tmp_path / "a.csv", ["a", "b"], [["1", "2"]])
+    write(tmp_path / "b.csv", ["b", "a"], [["20", "10"]])
+    rows = files.scan_csv(spark, str(tmp_path)).select("a", "b").collect()
+    assert sorted(map(tuple, rows)) == [("1", "2"), ("10", "20")]
+
+
+def test_a_batch_stored_again_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for _ in range(2):
+        tables.append_rows(spark.createDataFrame([(1, "b1"), (2, "b1")], "x int, batch_id string"), path)
+    tables.append_rows(spark.createDataFrame([(3, "b2")], "x int, batch_id string"), path)
+    assert sorted(r.x for r in spark.read.parquet(path).collect()) == [1, 2, 3]

@@ -61,8 +61,14 @@ def finite_or_null(c: Column | str) -> Column:
 # --- coercion -------------------------------------------------------------
 
 
-def to_date_or_null(c: Column | str) -> Column:
-    return F.try_to_date(as_column(c))
+DATE_FORMATS = ("yyyy-MM-dd", "MM/dd/yyyy", "MM-dd-yyyy", "yyyy/MM/dd", "dd.MM.yyyy")
+
+
+def to_date_or_null(c: Column | str, formats: Iterable[str] = DATE_FORMATS) -> Column:
+    """The date by Spark's own cast, else by the first format that fits; times of day are left out."""
+    text = F.trim(as_column(c).cast("string"))
+    day = F.split(text, "[ T]")[0]
+    return F.coalesce(F.try_to_date(text), *[F.try_to_date(day, f) for f in formats])
 
 
 def to_money_or_null(c: Column | str) -> Column:
@@ -70,7 +76,12 @@ def to_money_or_null(c: Column | str) -> Column:
 
 
 def to_int_or_null(c: Column | str) -> Column:
-    return as_column(c).try_cast("int")
+    """Whole numbers, also written with a decimal point; a fraction is cut off."""
+    return as_column(c).try_cast("decimal(38,10)").try_cast("int")
+
+
+def to_bigint_or_null(c: Column | str) -> Column:
+    return as_column(c).try_cast("decimal(38,10)").try_cast("bigint")
 
 
 def epoch_to_date(seconds: Column | str, origin: str = "1970-01-01") -> Column:

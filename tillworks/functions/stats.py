@@ -66,7 +66,8 @@ def standings(
     the rows becomes one row; that reduced table is written to ``path`` and every
     rank is worked out on it. Its rows are cut into ``slices`` equal parts of the
     first key's range; places are counted inside a slice and moved on by the
-    sizes of the better slices.
+    sizes of the better slices. Rows without a figure come last, in either
+    direction, and share their places like any others.
     """
     spark = df.sparkSession
     columns = sorted({c for keys in ranks.values() for c, _ in keys})
@@ -76,15 +77,15 @@ def standings(
     for rank, keys in ranks.items():
         lead, descending = keys[0]
         names = [c for c, _ in keys]
-        order = [F.col(c).desc() if down else F.col(c).asc() for c, down in keys]
+        order = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in keys]
         low, high = figures.agg(F.min(lead)).scalar(), figures.agg(F.max(lead)).scalar()
         cut = F.floor(F.try_divide((F.col(lead) - low) * slices, high - low))
         tuples = (
             figures.groupBy(*names)
             .agg(F.sum("_n").alias("_n"))
-            .withColumn("_slice", F.coalesce(cut, F.lit(0)))
+            .withColumn("_slice", F.when(F.col(lead).isNotNull(), F.coalesce(cut, F.lit(0))))
         )
-        better = Window.orderBy(F.col("_slice").desc() if descending else F.col("_slice").asc())
+        better = Window.orderBy(F.col("_slice").desc_nulls_last() if descending else F.col("_slice").asc_nulls_last())
         inside = Window.partitionBy("_slice").orderBy(*order)
         ahead = (
             tuples.groupBy("_slice")
@@ -95,9 +96,16 @@ def standings(
             )
         )
         # At most slices + 1 rows of offsets, whatever the data.
-        places = tuples.join(F.broadcast(ahead), "_slice").select(
+        places = _matched(tuples, F.broadcast(ahead), ["_slice"]).select(
             *names,
             (F.col("_ahead") + F.sum("_n").over(inside) - F.col("_n") + 1).alias(rank),
         )
-        placed = placed.join(places, names)
-    return df.join(placed, columns)
+        placed = _matched(placed, places, names)
+    return _matched(df, placed, columns)
+
+
+def _matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys where NULL equals NULL; the keys come from the left."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in keys})
+    same = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in keys]
+    return left.join(renamed, same).drop(*[f"_right_{c}" for c in keys])

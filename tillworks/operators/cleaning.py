@@ -16,6 +16,7 @@ from tillworks.functions.scalars import (
     month_start,
     rebase_year,
     to_date_or_null,
+    to_bigint_or_null,
     to_int_or_null,
     to_money_or_null,
     without_spaces,
@@ -71,7 +72,7 @@ def clean_reviews(
             "product_id": without_spaces("product_id"),
             "category": compact_key("category"),
             "review_score": to_int_or_null("review_score"),
-            "review_date": epoch_to_date(F.col("review_date").try_cast("bigint"), origin),
+            "review_date": epoch_to_date(to_bigint_or_null("review_date"), origin),
         }
     )
     return without_categories(within_years(typed, years), excluded)

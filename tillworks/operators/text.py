@@ -116,9 +116,9 @@ def rank_topics(
     vector: str = "embedding",
     is_empty: Column | None = None,
     threshold: float = 0.35,
-    top_n: int = 3,
+    top_n: int | None = 3,
 ) -> DataFrame:
-    """Add ``topics``: the ``top_n`` whose cosine similarity reaches the threshold.
+    """Add ``topics``: the ``top_n`` (None: all) whose cosine similarity reaches the threshold.
 
     The topics are a handful of rows: they travel as one array of unit vectors,
     and every review compares, sorts and cuts inside its own row. Equal scores
@@ -152,8 +152,9 @@ def rank_topics(
         )
 
     passing = F.filter(F.zip_with(dots, lengths, scored), lambda s: s["score"] >= threshold)
+    ranked = F.sort_array(passing)
     best = F.transform(
-        F.slice(F.sort_array(passing), 1, top_n),
+        ranked if top_n is None else F.slice(ranked, 1, top_n),
         lambda s: F.struct(s["topic"].alias("topic"), s["score"].alias("score")),
     ).cast(TOPIC_TYPE)
     other = F.array(
@@ -169,8 +170,8 @@ def rank_topics(
 
 
 def topic_similarity(reviews: DataFrame, topics: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Every review x topic pair with its similarity (a fixed number per review)."""
-    ranked = rank_topics(reviews, topics, vector, threshold=-2.0, top_n=len(lookups.TOPICS))
+    """Every review x topic pair with its similarity (as many per review as there are topics)."""
+    ranked = rank_topics(reviews, topics, vector, threshold=-2.0, top_n=None)
     return ranked.select("review_id", F.explode("topics").alias("pair")).select(
         "review_id", "pair.topic", F.col("pair.score").alias("similarity")
     )
@@ -215,13 +216,15 @@ def enrich_reviews(
     threshold: float = 0.35,
     top_n: int = 3,
     check_size: bool = True,
+    rules: bool = True,
 ) -> DataFrame:
-    """Reviews with topics and sentiment.
+    """Reviews with topics and sentiment, scored by the rules or, without, by the plain sum of valences.
 
     Topics are settled before the join with the scores, so a mart that needs
     only month, category and counts never shuffles a text.
     """
-    scores = sentiment_scores(reviews, lexicon, check_size=check_size)
+    scorer = rule_sentiment_scores if rules else sentiment_scores
+    scores = scorer(reviews, lexicon, check_size=check_size)
     return with_sentiment(with_topics(reviews, topics, threshold, top_n), scores)
 
 

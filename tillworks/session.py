@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import tempfile
 import uuid
@@ -36,20 +35,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master without that setting (tests, the benchmark) falls back
-    to a temporary folder; executors on other machines could not read one.
+    A local session without the setting (tests, the benchmark) is given one here,
+    once; executors on other machines could not read it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _local_folder()
-
-
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tillworks-")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tillworks-"))
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -68,29 +61,24 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple
     return df, False
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan over all cores when the scan has fewer parts.
-
-    A file with one row group is read by one task, and text work on it would
-    stay there. A scan that already has enough parts, as large data always has,
-    is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+_MARTS: dict[tuple, str] = {}
 
 
-_MARTS: dict[tuple[str, str, str], str] = {}
+def _listing(spark: SparkSession, source: str) -> tuple:
+    """Names, sizes and times of the table files, so that a changed file means a new mart."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    return tuple(files.load(source).select("path", "length", "modificationTime").orderBy("path").collect())
 
 
 def stored_mart(
     spark: SparkSession, name: str, source: str, build: Callable[[SparkSession, str], DataFrame]
 ) -> DataFrame:
-    """A mart written once per session and source folder, then read back.
+    """A mart written once per session and state of the source folder, then read back.
 
     Dashboards and reports read marts; they do not rebuild them per request. The
     written table also ends the lineage, so a lost executor re-reads a file.
     """
-    key = (spark.sparkContext.applicationId, source, name)
+    key = (spark.sparkContext.applicationId, source, name, _listing(spark, source))
     if key not in _MARTS:
         path = fresh_path(spark, f"mart-{name}")
         build(spark, source).write.parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +22,29 @@ def headers_of(kind: str) -> Mapping[str, str]:
     return HEADERS[kind]
 
 
-def scan_csv(spark: SparkSession, path: str) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All columns as text, without a pass to infer types; typing comes later
-    with try_cast. Quoted fields may span lines, as review texts do."""
-    if not path.rstrip("/").lower().endswith((".csv", "*")) and "." in path.rsplit("/", 1)[-1]:
+    with try_cast.
+
+    Files whose columns come in another order are read by their own header and
+    united by name. Quoted fields of reviews span lines, which makes a file one
+    task: upload many reviews as a folder of files. Sales files are split.
+    """
+    if path.rsplit("/", 1)[-1].lower().endswith((".xlsx", ".xls", ".ods", ".json")):
         raise ValueError("only .csv files or folders of them can be read")
-    return (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
+
+    def read(paths: list[str]) -> DataFrame:
+        options = {"header": True, "multiLine": multi_line, "escape": '"', "mode": "PERMISSIVE"}
+        return spark.read.options(**options).csv(paths)
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for row in listed.where("length > 0").select("path").orderBy("path").collect():  # one row per uploaded file
+        by_header.setdefault(tuple(read([row["path"]]).columns), []).append(row["path"])
+    if not by_header:
+        return read([path])
+    parts = [read(paths) for paths in by_header.values()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -49,7 +61,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 def check_headers(df: DataFrame, headers: Mapping[str, str]) -> DataFrame:
     missing = sorted(set(headers) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing columns in uploaded file: {missing}")
+        raise ValueError(f"the upload lacks the columns {missing}")
     return df
 
 
@@ -77,7 +89,7 @@ def raw_rows(df: DataFrame, kind: str, batch_id: str) -> DataFrame:
 
 def read_upload(spark: SparkSession, path: str, kind: str, batch_id: str) -> DataFrame:
     headers_of(kind)
-    return raw_rows(scan_csv(spark, path), kind, batch_id)
+    return raw_rows(scan_csv(spark, path, multi_line=kind == "reviews"), kind, batch_id)
 
 
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:

@@ -22,7 +22,6 @@ from tillworks.functions.scalars import (
     month_start,
 )
 from tillworks.operators.text import exploded_words
-from tillworks.session import spread
 
 REVIEW_START = "1998-01-01"
 REVIEW_DAYS = 1096
@@ -145,7 +144,7 @@ def review_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def review_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_vectors = read_table(spark, sf_dir, "embeddings").agg(F.count("*")).scalar()
-    docs = spread(read_table(spark, sf_dir, "documents")).select(
+    docs = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("review_id"),
         _spread_date("doc_id").alias("review_date"),
         (F.lit(1) + F.col("n_chars") % 5).cast("int").alias("review_score"),
@@ -170,7 +169,7 @@ def review_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean vector of labels 0..6, named after the seven topics."""
+    """Mean vector of labels 0..6, named after the seven topics; vectors with other labels take no part."""
     names = lookups.lookup_frame(
         spark, list(enumerate(lookups.TOPICS)), "label int, topic string"
     )
@@ -192,6 +191,6 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     It grows with the texts, so nothing may broadcast it unchecked.
     """
-    words = exploded_words(spread(read_table(spark, sf_dir, "documents")).select("text"), "text")
+    words = exploded_words(read_table(spark, sf_dir, "documents").select("text"), "text")
     valence = ((F.length("token") % 5 - 2).cast("decimal(4,1)") * F.lit("0.9").cast("decimal(2,1)"))
     return words.distinct().select("token", valence.cast("double").alias("valence"))

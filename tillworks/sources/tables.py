@@ -21,8 +21,12 @@ LEDGER_SCHEMA = (
 
 
 def append_rows(df: DataFrame, path: str) -> None:
-    """Append by batch; the job commits all of its files or none."""
-    df.write.mode("append").partitionBy("batch_id").parquet(path)
+    """Store the rows of some batches; a batch that is stored again replaces itself.
+
+    Other batches stay as they are, so a step that failed can simply run again.
+    """
+    rows = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy("batch_id").parquet(path)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
