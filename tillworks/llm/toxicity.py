@@ -41,6 +41,7 @@ MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2000, 3000, 16 << 20
 LOW, HIGH = -6, 10
 FOLDS = 5
 STEP = 1 << 20
+FIT_THREADS = 4
 SAMPLES = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -62,12 +63,12 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> SAMPLES:
     return padded, begin, length, row
 
 
-def _lengths(compressor: zstandard.ZstdCompressor, text: bytes, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _lengths(compressor: zstandard.ZstdCompressor, text: bytes, begin: np.ndarray, length: np.ndarray, threads: int) -> np.ndarray:
     out = np.empty(len(begin), np.int32)
     for at in range(0, len(begin), 50_000):
         part = slice(at, at + 50_000)
         spans = np.stack([begin[part], length[part]], 1).astype(np.uint64).tobytes()
-        packed = compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(text, spans), threads=1)
+        packed = compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(text, spans), threads=threads)
         out[part] = np.fromiter((len(x) for x in packed), np.int32, len(begin[part]))
     return out
 
@@ -92,8 +93,10 @@ class Model:
     scale: np.ndarray = field(default_factory=lambda: np.ones(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
-    def gaps(self, text: bytes, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return _lengths(_compressor(self.ordinary), text, begin, length) - _lengths(_compressor(self.toxic), text, begin, length)
+    def gaps(self, text: bytes, begin: np.ndarray, length: np.ndarray, threads: int = 1) -> np.ndarray:
+        """How many bytes fewer the toxic dictionary needs for each window."""
+        spans = (text, begin, length, threads)
+        return _lengths(_compressor(self.ordinary), *spans) - _lengths(_compressor(self.toxic), *spans)
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -145,10 +148,10 @@ def fit(toxic: list[str], ordinary: list[str], prior: float, rounds: int = ROUND
     for _ in range(rounds):
         widest = []
         for text, begin, length, _ in sides:
-            gaps = model.gaps(text, begin, length) + rng.random(len(begin)) / 2  # equal gaps in random order
+            gaps = model.gaps(text, begin, length, FIT_THREADS) + rng.random(len(begin)) / 2  # equal gaps in random order
             widest.append(np.argsort(-gaps)[: max(16, int(SHARE * len(gaps)))])
         model = Model(prior, content(0, OWN_BYTES, widest[0]) + base, content(1, OWN_BYTES, widest[1]) + base)
-    x = np.concatenate([_features(model.gaps(t, b, n), row, len(texts)) for (t, b, n, row), texts in zip(sides, (toxic, ordinary))])
+    x = np.concatenate([_features(model.gaps(t, b, n, FIT_THREADS), row, len(texts)) for (t, b, n, row), texts in zip(sides, (toxic, ordinary))])
     y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     model.weights = _logistic((x - model.mean) / model.scale, y)
