@@ -293,8 +293,9 @@ def rule_sentiment_scores(
     word weigh half, uses after it one and a half.
     """
     spark = reviews.sparkSession
+    small = False
     if check_size:
-        lexicon, _ = broadcast_if_bounded(lexicon)
+        lexicon, small = broadcast_if_bounded(lexicon)
     listed = spark.createDataFrame(
         modifiers if modifiers is not None else modifier_rows(),
         "word string, boost double, negates boolean",
@@ -322,6 +323,8 @@ def rule_sentiment_scores(
             )
         ).alias("pos", "use"),
     )
+    if small:  # words without a valence end where they were read, before any exchange
+        uses = uses.join(lexicon.select(F.col("token").alias("_known")), F.col("use.token") == F.col("_known"), "left_semi")
     weight = (
         F.when(F.col("turn").isNull() | (F.col("pos") == F.col("turn")), 1.0)
         .when(F.col("pos") < F.col("turn"), 0.5)

@@ -640,6 +640,12 @@ def report_category_yoy(spark: SparkSession, d: str) -> DataFrame:
     return report.category_performance(report_sales(spark, d), Y)
 
 
+@query("report_chosen_category", ("sales_lines",), f"SELECT * FROM {PERFORMANCE} WHERE category = 'ECONOMY'")
+def report_chosen_category(spark: SparkSession, d: str) -> DataFrame:
+    """The performance section of a report on one category."""
+    return report.category_performance(report_sales(spark, d), Y, "ECONOMY")
+
+
 @query("report_sales_kpis", ("sales_lines",), f"SELECT * FROM {SALES_KPIS}")
 def report_sales_kpis(spark: SparkSession, d: str) -> DataFrame:
     return report.sales_kpis(report_sales(spark, d), Y)

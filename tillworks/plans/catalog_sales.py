@@ -208,9 +208,18 @@ def data_presence(spark: SparkSession, d: str) -> DataFrame:
     return rated.agg((F.count("*") > 0).alias("has_reviews")).select(sold.alias("has_sales"), "has_reviews")
 
 
-@query("file_preview")
+@query(
+    "file_preview",
+    (),
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus
+FROM orders ORDER BY orders.o_orderkey LIMIT 20""",
+)
 def file_preview(spark: SparkSession, d: str) -> DataFrame:
-    return files.preview(read_table(spark, d, "orders"), 20)
+    """The first rows of a CSV upload, by order number; values are text as in the file."""
+    path = fresh_path(spark, "orders-csv")
+    files.write_csv(read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), path)
+    rows = files.scan_csv(spark, path, multi_line=False)
+    return files.preview(rows.orderBy(F.col("o_orderkey").cast("bigint")), 20)
 
 
 # --- cleaning -------------------------------------------------------------
