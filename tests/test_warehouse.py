@@ -166,3 +166,19 @@ def test_a_batch_stored_again_replaces_itself(spark, tmp_path):
         tables.append_rows(spark.createDataFrame([(1, "b1"), (2, "b1")], "x int, batch_id string"), path)
     tables.append_rows(spark.createDataFrame([(3, "b2")], "x int, batch_id string"), path)
     assert sorted(r.x for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_one_run_with_sales_only_reviews_only_and_both(spark, loaded, tmp_path):
+    assert warehouse.loaded_kinds(spark, loaded) == {"sales", "reviews"}
+    assert warehouse.refresh(spark, loaded) == ["marts", "forecasts"]
+    assert warehouse.mart(spark, loaded, "customer_review_matched").count() == 2
+    warehouse.roll_back(spark, loaded, "r1")
+    assert warehouse.loaded_kinds(spark, loaded) == {"sales"}
+    assert warehouse.refresh(spark, loaded) == ["marts", "forecasts"]
+    only = str(tmp_path / "only")
+    rated = write(tmp_path / "again.csv", REVIEW_HEADERS, REVIEWS)
+    for _ in range(2):
+        warehouse.ingest(spark, only, rated, "reviews", 2020, "r1")
+        warehouse.clean_batch(spark, only, "reviews", "r1")
+    assert warehouse.refresh(spark, only) == []
+    assert warehouse.active(spark, only, "reviews").count() == spark.read.parquet(f"{loaded}/reviews").count()

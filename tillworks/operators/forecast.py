@@ -188,7 +188,7 @@ def _training_rows(values: np.ndarray, months: list[pd.Timestamp], lags, means):
         + [values[i - n : i].mean() for n in means]
         for i in places
     ]
-    return np.array(rows, dtype=float).reshape(len(places), -1), places
+    return np.array(rows, dtype=float).reshape(len(places), 2 + len(lags) + len(means)), places
 
 
 def _train_mask(years: np.ndarray) -> np.ndarray:

@@ -99,15 +99,20 @@ def build_star(sales: DataFrame, matched: DataFrame | None = None) -> dict[str,
 
 
 def rebuild_marts(spark: SparkSession, root: str, with_reviews: bool = True) -> None:
-    """Dimensions and marts from the clean tables, replaced as a whole."""
-    sales = sales_fact(spark, root)
-    matched = cleaning.matched_reviews(active(spark, root, "reviews")) if with_reviews else None
+    """Dimensions and marts from the clean tables, replaced as a whole.
+
+    The fact and the matched reviews are worked out once, stored and read back.
+    """
+    save_mart(sales_fact(spark, root), root, "sales_fact")
+    sales, matched = mart(spark, root, "sales_fact"), None
+    if with_reviews:
+        save_mart(cleaning.matched_reviews(active(spark, root, "reviews")), root, "customer_review_matched")
+        matched = mart(spark, root, "customer_review_matched")
     built = build_star(sales, matched)
     built["new_customer"] = marts.new_customers(built["dim_customer"])
     built["sales_growth"] = marts.sales_growth(sales)
     built["products_transactions"] = marts.category_months(sales)
     if matched is not None:
-        built["customer_review_matched"] = matched
         built["review_score_category_monthly"] = marts.rating_by_category_month(matched)
         built["review_score_category_summary"] = marts.rating_by_category(matched)
         built["review_score_product_monthly"] = marts.rating_by_product_month(matched)
@@ -174,3 +179,37 @@ def score_analysis(spark: SparkSession, root: str, min_reviews: int = 5, min_tot
         "low_rated_high_sellers": ratings.low_rated_high_sellers(both),
     }
 
+
+
+# --- one run --------------------------------------------------------------
+
+
+def loaded_kinds(spark: SparkSession, root: str) -> set[str]:
+    """Which of sales and reviews have a cleaned batch that was not rolled back."""
+    events = ledger(spark, root)
+    kinds = events.where("dataset_type IS NOT NULL").select("batch_id", "dataset_type").distinct()
+    current = tables.current_status(events).where(F.col("status").isin("clean_loaded", "completed"))
+    return {r["dataset_type"] for r in kinds.join(current, "batch_id").select("dataset_type").distinct().collect()}
+
+
+def refresh(
+    spark: SparkSession, root: str, vectors: DataFrame | None = None, topics: DataFrame | None = None,
+    lexicon: DataFrame | None = None, threshold: float = 0.35, top_n: int = 3,
+) -> list[str]:
+    """Everything that can be built from what is loaded; returns the steps that ran.
+
+    Sales alone give marts and forecasts. Reviews add the score marts, and with
+    vectors, topics and a lexicon the content marts and segments. Reviews alone
+    give nothing, as every review mart is matched with sales.
+    """
+    kinds = loaded_kinds(spark, root)
+    if "sales" not in kinds:
+        return []
+    rebuild_marts(spark, root, with_reviews="reviews" in kinds)
+    forecasts(spark, root)
+    steps = ["marts", "forecasts"]
+    if "reviews" in kinds and vectors is not None and topics is not None and lexicon is not None:
+        review_content(spark, root, vectors, topics, lexicon, threshold, top_n)
+        segmentation(spark, root)
+        steps += ["review_content", "segmentation"]
+    return steps
