@@ -145,7 +145,7 @@ _TABLE = Scratch()
 def _powers_upto(base: int, n: int) -> np.ndarray:
     have = _TABLE.get(base)
     if have is None or len(have) < n:
-        have = _powers(base, max(n, STEP_BYTES + 1))
+        have = _powers(base, max(n, 1 << 20))
         if n <= STEP_BYTES + 1:
             _TABLE[base] = have
     return have[:n]
