@@ -89,7 +89,8 @@ def echo_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Chosen is the conversation as it is. Rejected is the same conversation with its last
     assistant turn replaced by an echo of the first turn's text, and nothing after it.
-    Conversations without an assistant turn make no pair.
+    Conversations without an assistant turn make no pair: no answer could be chosen or
+    rejected. Rows with a null conversation or turn are left out; the check SQL does the same.
     """
     turns = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", "text")
     ends = turns.groupBy("conv_id").agg(
