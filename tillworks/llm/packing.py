@@ -11,7 +11,8 @@
 
 The ids are those of the byte-level vocabulary file in ``tokenizers`` form; they are
 worked out with tiktoken from the same vocabulary as ranks, which gives the same ids
-in a fraction of the time. Strings of special tokens in a text are ordinary text.
+in a fraction of the time. Strings of special tokens in a text are ordinary text: the file
+as loaded gives ``<|endoftext|>`` the id 50256 instead, unless encode_special_tokens is set.
 """
 
 from __future__ import annotations
