@@ -13,7 +13,9 @@ widest gaps, the ordinary one on the ordinary windows most easily mistaken.
 
 The model is fitted on a bounded sample of labelled rows, ``MAX_TOXIC`` and
 ``MAX_ORDINARY`` documents and ``MAX_BYTES`` of text per class at most, chosen by a
-hash of the identifier. Scoring reads every window of every whole text, in the task
+hash of the identifier. The base and the first dictionaries are trained on at most
+``TRAINING_WINDOWS`` windows of a class, drawn at random, later ones on the
+``SHARE`` of windows with the widest gaps. Scoring reads every window of every whole text, in the task
 that read it; nothing is shuffled.
 """
 
