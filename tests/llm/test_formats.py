@@ -117,6 +117,18 @@ def test_archives_round_trip(spark, pages, min_bytes):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_archive_files_are_cut_by_bytes(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    given = [(i, f"http://a/{i}", rng.bytes(n // 2).hex()) for i, n in enumerate([200_000] * 12 + [3_000_000, 10, 10])]
+    pages = spark.createDataFrame(given, "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "warc")
+    warc.write_archives(warc.resolved(pages).coalesce(1), path, file_bytes=500_000)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "warc").rglob("part-*"))
+    assert len(sizes) > 3 and sizes[-2] <= 500_000 < sizes[-1]
+    records = warc.read_archives(spark, path).collect()
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in records) == [(i, t) for i, _, t in given]
+
+
 def test_members_are_plain_gzip():
     small, large = b"x" * 1000, np.random.default_rng(0).bytes(17 << 20)
     for data in (small, large, b""):

@@ -9,6 +9,7 @@
    stores them in the shared folder, with its commit protocol. The writer ends
    each row with a separator, so the last byte of a member, always zero (a
    member of 16 MB and more is followed by an empty one), is left to the separator.
+   Each task begins a new file when ``FILE_BYTES`` or ``RECORDS_PER_FILE`` are reached.
 4. Archives are read back file by file and parsed by Content-Length.
 """
 
@@ -19,18 +20,20 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm.common import ensure_shared_folder, staged, text_of
+from tillworks.llm.common import STEP_BYTES, ensure_shared_folder, staged, steps, text_of
 from tillworks.session import fresh_path
 
 # The names and line forms of WARC 1.1 that the records carry.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 1000
+FILE_BYTES = 32 << 20
 GZIP_LEVEL = 3
 CAPTURED = "1970-01-01T00:00:00Z"
 
@@ -101,20 +104,29 @@ def gzip_member(data: bytes, level: int = GZIP_LEVEL) -> bytes:
     return out
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _members(batches: Iterator[pa.RecordBatch], file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Members and the number, in this task, of the file each goes to."""
+    number, held = 0, 0
+    for batch in steps(batches, "payload"):
         columns = [batch.column(i) for i in range(batch.num_columns)]
         for at in range(0, batch.num_rows, 256):
             part = [c.slice(at, 256).to_pylist() for c in columns]
             members = [gzip_member(record_bytes(*row))[:-1] for row in zip(*part)]
-            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
+            numbers = []
+            for member in members:
+                if held and held + len(member) + 1 > file_bytes:
+                    number, held = number + 1, 0
+                held += len(member) + 1
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(numbers, pa.int64())], ["member", "file"])
 
 
-def write_archives(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write resolved records as gzip members, at most ``per_file`` to a file."""
-    members = records.select("page_id", "url", "digest", "n_bytes", "target", "payload").mapInArrow(_members, "member binary")
-    rows = members.select(F.col("member").cast("string").alias("value"))
-    rows.write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
+def write_archives(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Write resolved records as gzip members, at most ``per_file`` or ``file_bytes`` to a file; a larger record has its own."""
+    narrow = records.select("page_id", "url", "digest", "n_bytes", "target", "payload")
+    members = narrow.mapInArrow(partial(_members, file_bytes=file_bytes), "member binary, file long")
+    rows = members.select(F.col("member").cast("string").alias("value"), "file")
+    rows.write.partitionBy("file").option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse_records(stream: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -171,13 +183,14 @@ def _records(keep_payload: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = []
+                rows, held = [], 0
                 for headers, payload in parse_records(content.as_py()):
                     row = _parsed(headers, payload)
                     rows.append(row if keep_payload else (*row[:-1], None))
-                    if len(rows) == 256:
+                    held += len(payload) if keep_payload else 0
+                    if len(rows) == 256 or held > STEP_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
