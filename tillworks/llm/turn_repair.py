@@ -244,25 +244,27 @@ def faulty(turns: DataFrame) -> DataFrame:
     """Rows ``conv_id, turn, role, text, copies`` with equal ones added up, and ``repeats``: how many of the copies
     come after an equal role and text, ``blank`` and ``truncated``. Null turns come first.
 
-    Copies are added up before anything moves, so a row repeated very often is one row.
+    Copies are added up before anything moves, so a row repeated very often is one row. What was
+    said more than once is found by digests alone; Spark sends that table whole where it is small.
     """
     said = F.sha2(F.to_json(F.struct("role", "text")), 256)
-    rows = turns.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
-    rows = staged(rows.where("copies > 0").withColumn("_said", said), "damaged-turns")
-    first = rows.groupBy("conv_id", "_said").agg(F.min(F.struct("turn")).alias("_first"))
-    first = staged(first.select(F.col("conv_id").alias("_conv"), F.col("_said").alias("_same"), "_first.turn").withColumnRenamed("turn", "_turn"), "first-said")
+    heard = turns.where("copies > 0").select(F.col("conv_id").alias("_conv"), said.alias("_same"), F.col("turn").alias("_turn"), "copies")
+    again = heard.groupBy("_conv", "_same").agg(F.sum("copies").alias("_n"), F.min(F.struct("_turn")).alias("_first")).where("_n > 1")
+    again = staged(again.select("_conv", "_same", "_first._turn"), "said-again")
+    rows = turns.where("copies > 0").groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies")).withColumn("_said", said)
+    joined = rows.join(again, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_said") == F.col("_same")), "left")
+    first = F.col("turn").eqNullSafe(F.col("_turn")).cast("long")
     body = F.regexp_replace("text", f"[{SPACES}]+\\z", "")
-    joined = rows.join(first, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_said") == F.col("_same")))
     return joined.select(
         "conv_id",
         "turn",
         "role",
         "text",
         "copies",
-        (F.col("copies") - F.col("turn").eqNullSafe(F.col("_turn")).cast("long")).alias("repeats"),
-        ~F.col("text").rlike(f"[^{SPACES}]"),
-        (~F.substring(body, -1, 1).isin(".", "!", "?")),
-    ).toDF("conv_id", "turn", "role", "text", "copies", "repeats", "blank", "truncated")
+        F.when(F.col("_same").isNull(), 0).otherwise(F.col("copies") - first).alias("repeats"),
+        (~F.col("text").rlike(f"[^{SPACES}]")).alias("blank"),
+        (~F.substring(body, -1, 1).isin(".", "!", "?")).alias("truncated"),
+    )
 
 
 # --- blocks -----------------------------------------------------------------
