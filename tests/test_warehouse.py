@@ -5,10 +5,12 @@ import csv
 import pytest
 from pyspark.sql import functions as F
 
+from tillworks import session
 from tillworks.functions.lookups import REVIEW_HEADERS, SALES_HEADERS
 from tillworks.operators import cleaning
 from tillworks.plans import warehouse
-from tillworks.sources import files, tables
+from tillworks.sources import files, tables, versions
+from tillworks.sources.versions import Snapshot
 from tillworks.streaming import ingest as streaming
 
 SALES_1 = [
@@ -182,3 +184,158 @@ def test_one_run_with_sales_only_reviews_only_and_both(spark, loaded, tmp_path):
         warehouse.clean_batch(spark, only, "reviews", "r1")
     assert warehouse.refresh(spark, only) == []
     assert warehouse.active(spark, only, "reviews").count() == spark.read.parquet(f"{loaded}/reviews").count()
+
+
+# --- partials, versions, streams --------------------------------------------
+
+
+def order_rows(spark, rows):
+    df = spark.createDataFrame(rows, "order_id string, batch_id string, loaded_at int, order_date string, category string, amount double, customer_id string")
+    return df.select(
+        "order_id", "batch_id", "loaded_at", F.col("order_date").cast("date").alias("order_date"), "category",
+        F.col("amount").cast("decimal(18,2)").alias("sales"), F.lit(1).cast("decimal(18,2)").alias("profit"),
+        "customer_id", F.col("customer_id").alias("customer_name"), F.lit("Oslo").alias("city"),
+        F.concat("category", F.lit("x")).alias("product_id"), F.lit("x").alias("subcategory"),
+    )
+
+
+THREE_LOADS = [
+    ("o1", "b1", 1, "2020-01-05", "Tea", 10.0, "Ann"),
+    ("o2", "b1", 1, "2020-01-06", "Tea", 20.0, "Bob"),
+    ("o2", "b1", 1, "2020-01-06", "Tea", 19.0, "Bob"),  # twice in one file: the larger row settles the tie
+    (None, "b1", 1, "2020-01-07", "Rye", 1.0, "Cid"),
+    (None, "b1", 1, "2020-01-07", "Rye", 1.0, "Cid"),
+    ("o2", "b2", 2, "2020-02-06", "Rye", 30.0, "Bob"),
+    ("o3", "b2", 2, None, None, 5.0, "Dan"),
+    ("o2", "b3", 3, "2020-03-06", "Tea", 40.0, "Eve"),
+    ("o1", "b3", 3, "2020-01-05", "Tea", 11.0, "Ann"),
+]
+
+
+def plain_marts(rows, active):
+    """The growth mart, category months and first months from the rows themselves."""
+    last, unnamed = {}, []
+    for r in sorted((r for r in rows if r[1] in active), key=lambda r: (r[2], r[5])):
+        if r[0] is None:
+            unnamed.append(r)
+        else:
+            last[r[0]] = r
+    counted = [*last.values(), *unnamed]
+    months, firsts = {}, {}
+    for _, _, _, day, category, amount, customer in counted:
+        total, n = months.get((category, day and day[:7]), (0, 0))
+        months[category, day and day[:7]] = (total + amount, n + (category is not None))
+        firsts[customer] = min(filter(None, [firsts.get(customer), day]), default=None)
+    return months, {c: d and d[:7] for c, d in firsts.items()}
+
+
+def stored_marts(spark, root):
+    seen = Snapshot(spark, root)
+    months = {(r.category, r.sales_month and str(r.sales_month)[:7]): (float(r.total_sales), r.total_transactions) for r in seen.mart("products_transactions").collect()}
+    return months, {r.customer_id: r.first_month and str(r.first_month)[:7] for r in seen.mart("dim_customer").collect()}
+
+
+def note(spark, root, batch, status, number):
+    tables.record_status(spark, f"{root}/ledger", batch, status, number, dataset_type="sales")
+
+
+@pytest.fixture
+def contested(spark, tmp_path):
+    root = str(tmp_path / "contested")
+    for batch in ("b1", "b2", "b3"):
+        warehouse.store_sales(spark, root, order_rows(spark, [r for r in THREE_LOADS if r[1] == batch]), [batch])
+        note(spark, root, batch, "clean_loaded", 2)
+    return root
+
+
+def test_orders_of_several_batches_count_once_whatever_is_rolled_back(spark, contested):
+    active = {"b1", "b2", "b3"}
+    for gone in (None, "b3", "b1"):
+        if gone:
+            warehouse.roll_back(spark, contested, gone)
+            active.discard(gone)
+        warehouse.rebuild_marts(spark, contested, with_reviews=False)
+        assert stored_marts(spark, contested) == plain_marts(THREE_LOADS, active), gone
+        assert {r.order_id for r in warehouse.sales_fact(spark, contested).collect()} == {r[0] for r in THREE_LOADS if r[1] in active}
+    # A batch that is stored again replaces itself in every table.
+    warehouse.store_sales(spark, contested, order_rows(spark, [("o2", "b2", 2, "2020-02-06", "Rye", 31.0, "Bob")]), ["b2"])
+    warehouse.rebuild_marts(spark, contested, with_reviews=False)
+    assert stored_marts(spark, contested) == ({("Rye", "2020-02"): (31.0, 1)}, {"Bob": "2020-02"})
+
+
+def test_batches_stored_together_equal_batches_stored_one_by_one(spark, contested, tmp_path):
+    root = str(tmp_path / "together")
+    warehouse.store_sales(spark, root, order_rows(spark, THREE_LOADS), ["b1", "b2", "b3"])
+    for batch in ("b1", "b2", "b3"):
+        note(spark, root, batch, "clean_loaded", 2)
+    for store in (root, contested):
+        warehouse.rebuild_marts(spark, store, with_reviews=False)
+    assert stored_marts(spark, root) == stored_marts(spark, contested)
+
+
+def test_a_rebuild_reads_partials_and_no_fact(spark, contested):
+    merged = warehouse.merged_sales(spark, contested, ["b1", "b3"])
+    for name, frame in merged.items():
+        assert {f.split(f"{contested}/")[1].split("/")[0] for f in frame.inputFiles()} <= {f"partial_{name}", "contested_sales"}
+        assert "PartitionFilters: [concat_ws(/, load" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_readers_see_whole_versions(spark, tmp_path):
+    root = str(tmp_path / "versions")
+    one, two = spark.range(3), spark.range(5)
+    with pytest.raises(KeyError):
+        Snapshot(spark, root).mart("a")
+    with versions.rebuild(spark, root) as build:
+        build.save(one, "a")
+        build.save(one, "b")
+        with pytest.raises(KeyError):  # nobody else sees it yet
+            Snapshot(spark, root).mart("a")
+    pinned = Snapshot(spark, root)
+    with pytest.raises(RuntimeError):
+        with versions.rebuild(spark, root) as broken:
+            broken.save(two, "a")
+            assert broken.mart("a").count() == 5 and broken.mart("b").count() == 3
+            raise RuntimeError("executor lost")
+    assert Snapshot(spark, root).version == pinned.version and Snapshot(spark, root).mart("a").count() == 3
+    with versions.rebuild(spark, root) as build:
+        build.save(two, "a")
+    now = Snapshot(spark, root)
+    assert (now.mart("a").count(), now.mart("b").count(), now.number) == (5, 3, 2)
+    assert pinned.mart("a").count() == 3
+    assert versions.expire(spark, root, keep=2) == [broken.version]
+    assert versions.expire(spark, root, keep=1) == []  # b is still read from the first version
+    assert Snapshot(spark, root).mart("b").count() == 3
+
+
+def test_a_new_checkpoint_does_not_overwrite_earlier_batches(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "a.csv", SALES_HEADERS, SALES_1)
+    raw = str(tmp_path / "raw")
+    for state in ("one", "two"):
+        streaming.stream_to_raw(spark, str(folder), "sales", raw, str(tmp_path / state)).awaitTermination(120)
+    assert spark.read.parquet(raw).select("batch_id").distinct().count() == 2
+
+
+def test_a_repeated_clean_step_gives_the_same_review_ids(spark, loaded):
+    first = {r.review_id for r in spark.read.parquet(f"{loaded}/reviews").collect()}
+    warehouse.clean_batch(spark, loaded, "reviews", "r1")
+    assert first == {r.review_id for r in spark.read.parquet(f"{loaded}/reviews").collect()} and len(first) == 2
+
+
+def test_a_local_session_needs_no_named_folder(spark, monkeypatch):
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "local[2]"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    own = session.shared_folder(Session())
+    assert session.shared_folder(Session()) == own and session.fresh_path(Session(), "x").startswith(own)
+    Context.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())

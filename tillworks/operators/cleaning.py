@@ -79,9 +79,13 @@ def clean_reviews(
 
 
 def with_review_id(reviews: DataFrame) -> DataFrame:
-    """Give every review its own id, exact copies too. Write the result before
-    using the id twice: it is drawn once per run."""
-    return reviews.withColumn("review_id", F.uuid())
+    """Give every review its own id, exact copies too.
+
+    It is made of the batch and the row's stored place in it, so a repeated clean step gives
+    the same ids and vectors made for them still fit.
+    """
+    place = F.concat_ws(":", "batch_id", F.col("row_no").cast("string"))
+    return reviews.withColumn("review_id", F.sha2(place, 256)).drop("row_no")
 
 
 def within_years(reviews: DataFrame, years: Iterable[int] | None, column: str = "review_date") -> DataFrame:
@@ -159,14 +163,16 @@ def duplicate_orders(sales: DataFrame) -> DataFrame:
     return sales.groupBy("order_id").agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
 
-def last_per_order(sales: DataFrame, arrival: str) -> DataFrame:
+def last_per_order(sales: DataFrame, arrival: str, within: tuple[str, ...] = ()) -> DataFrame:
     """One row per order id, the one that arrived last; the other columns settle ties.
 
     max over a struct combines before the shuffle, so an id repeated in a third
-    of all rows sends one row per task. Rows without an id are all kept.
+    of all rows sends one row per task. Rows without an id are all kept. ``within``
+    names columns, such as the batch, whose values each keep their own last row.
     """
-    rest = [c for c in sales.columns if c not in ("order_id", arrival)]
+    keys = ["order_id", *within]
+    rest = [c for c in sales.columns if c not in (*keys, arrival)]
     newest = F.max(F.struct(arrival, *rest)).alias("row")
-    known = sales.filter(F.col("order_id").isNotNull()).groupBy("order_id").agg(newest)
-    picked = known.select("order_id", F.col(f"row.{arrival}"), *[F.col(f"row.{c}") for c in rest])
+    known = sales.filter(F.col("order_id").isNotNull()).groupBy(*keys).agg(newest)
+    picked = known.select(*keys, F.col(f"row.{arrival}"), *[F.col(f"row.{c}") for c in rest])
     return picked.unionByName(sales.filter(F.col("order_id").isNull()))

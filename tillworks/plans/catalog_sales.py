@@ -168,33 +168,6 @@ def batch_ledger_current(spark: SparkSession, d: str) -> DataFrame:
     return tables.current_status(events)
 
 
-@query(
-    "batch_rollback",
-    SL,
-    """SELECT sales_month, CAST(total_sales AS DOUBLE) AS total_sales, CAST(total_profit AS DOUBLE) AS total_profit,
-  (CAST(total_sales AS DOUBLE) - p_sales) / nullif(p_sales, 0) AS sales_growth,
-  (CAST(total_profit AS DOUBLE) - p_profit) / nullif(p_profit, 0) AS profit_growth
-FROM (SELECT *, CAST(lag(total_sales) OVER (ORDER BY sales_month) AS DOUBLE) AS p_sales,
-             CAST(lag(total_profit) OVER (ORDER BY sales_month) AS DOUBLE) AS p_profit
-      FROM (SELECT sales_month, sum(sales) AS total_sales, sum(profit) AS total_profit
-            FROM sales_lines WHERE year(order_date) <> 1998 GROUP BY sales_month))""",
-)
-def batch_rollback(spark: SparkSession, d: str) -> DataFrame:
-    """Store all batches, roll one back, rebuild the growth mart from the rest."""
-    path = fresh_path(spark, "clean-sales")
-    batches = _batched(spark, d)
-    tables.append_rows(batches, path)
-    stored = spark.read.parquet(path)
-    done = stored.select("batch_id").distinct().select(
-        "batch_id", F.lit("completed").alias("status"), F.lit(1).alias("status_no")
-    )
-    undone = done.filter(F.col("batch_id") == "sales-1998").select(
-        "batch_id", F.lit(tables.ROLLED_BACK).alias("status"), F.lit(2).alias("status_no")
-    )
-    kept = tables.active_rows(stored, done.unionByName(undone), order=("status_no",))
-    return marts.sales_growth(kept)
-
-
 @query(
     "data_presence",
     ("sales_lines", "review_events"),

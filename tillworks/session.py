@@ -32,17 +32,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+_OWN_FOLDER: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A local session without the setting (tests, the benchmark) is given one here,
-    once; executors on other machines could not read it.
+    Where it is unset, a local session (tests, the benchmark) gets one folder of its own
+    process; any other master is refused, as its executors could not read such a folder.
     """
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tillworks-"))
-    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not _OWN_FOLDER:
+        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="tillworks-"))
+    return _OWN_FOLDER[0]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

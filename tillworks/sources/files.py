@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillworks.functions.lookups import REVIEW_HEADERS, SALES_HEADERS
@@ -87,6 +87,11 @@ def raw_rows(df: DataFrame, kind: str, batch_id: str) -> DataFrame:
     return nulls_for_blanks(stamp_batch(checked, batch_id).select(*headers.values(), "batch_id"))
 
 
+def arrival() -> dict[str, Column]:
+    """When a row was loaded, and its place in its batch, from which lasting ids are made."""
+    return {"loaded_at": F.current_timestamp(), "row_no": F.monotonically_increasing_id()}
+
+
 def read_upload(spark: SparkSession, path: str, kind: str, batch_id: str) -> DataFrame:
     headers_of(kind)
     return raw_rows(scan_csv(spark, path, multi_line=kind == "reviews"), kind, batch_id)

@@ -29,9 +29,10 @@ def append_rows(df: DataFrame, path: str) -> None:
     rows.partitionBy("batch_id").parquet(path)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Full refresh of a mart. ``path`` must not be among the inputs of ``df``."""
-    df.write.mode("overwrite").parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been stored at all."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def read_batch(spark: SparkSession, path: str, batch_id: str) -> DataFrame:
@@ -72,7 +73,12 @@ def current_status(events: DataFrame, order: tuple[str, ...] = ("at", "status_no
 
 
 def active_rows(rows: DataFrame, events: DataFrame, order: tuple[str, ...] = ("at", "status_no")) -> DataFrame:
-    """Rows of batches that were not rolled back."""
+    """Rows of batches that were not rolled back.
+
+    The names of rolled-back batches, one per upload, go into a filter on the partition
+    column: their folders are not read, and no row is shuffled for it.
+    """
     gone = current_status(events, order).filter(F.col("status") == ROLLED_BACK).select("batch_id")
-    return rows.join(gone, "batch_id", "left_anti")
+    names = [r["batch_id"] for r in gone.collect()]
+    return rows.filter(~F.col("batch_id").isin(names)) if names else rows
 
