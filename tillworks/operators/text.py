@@ -1,7 +1,8 @@
 """Review text: sentiment from a lexicon, topics from vectors.
 
-Texts are processed whole. Sentiment explodes words and joins the lexicon as a
-set; topics compare vectors inside the row, without any shuffle.
+Texts are processed whole. A lexicon within a checked bound travels to the tasks and is looked
+up there, in one pass over the words of an Arrow batch; a larger one meets exploded words in a
+join. Topics compare vectors inside the row, without any shuffle.
 """
 
 from __future__ import annotations
@@ -9,7 +10,10 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +31,6 @@ from tillworks.functions.scalars import (
     tokens_of,
     without_urls,
 )
-from tillworks.session import broadcast_if_bounded
 
 # Tasks get this module's functions with the task; executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,10 +42,10 @@ TOPIC_TYPE = "array<struct<topic:string,score:double>>"
 
 
 def compound(total: Column | str) -> Column:
-    """Squash a valence sum into [-1, 1]."""
+    """Squash a valence sum into [-1, 1]; null stays null."""
     s = as_column(total).cast("double")
     squashed = s / F.sqrt(s * s + F.lit(float(lookups.NORMALISER)))
-    return half_even(F.greatest(F.least(squashed, F.lit(1.0)), F.lit(-1.0)), 4)
+    return F.when(s.isNotNull(), half_even(F.greatest(F.least(squashed, F.lit(1.0)), F.lit(-1.0)), 4))
 
 
 def exploded_words(texts: DataFrame, text_col: str) -> DataFrame:
@@ -58,6 +61,114 @@ def exploded_words(texts: DataFrame, text_col: str) -> DataFrame:
     )
 
 
+# A lexicon travels to the tasks when a count shows it to be within both bounds.
+LEXICON_ROWS, LEXICON_BYTES = 100_000, 8 << 20
+# Points are added up as whole numbers, so sums do not depend on the order of words.
+PLAIN_SCALE, RULE_SCALE = 10**6, 10**10
+
+
+def small_lexicon(lexicon: DataFrame) -> list[tuple[str, float]] | None:
+    """The words with their valence, or None where they are too many to travel. The count stops at the bound."""
+    known = lexicon.select("token", F.col("valence").cast("double").alias("valence")).where("token IS NOT NULL AND valence IS NOT NULL")
+    size = known.limit(LEXICON_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("token") + 8), F.lit(0)).alias("bytes")).first()
+    if size["n"] > LEXICON_ROWS or size["bytes"] > LEXICON_BYTES:
+        return None
+    return [(r["token"], r["valence"]) for r in known.collect()]
+
+
+class Scorer:
+    """Sums of points of cleaned texts, a batch at a time.
+
+    Each distinct word of a batch is looked up once; words and their neighbours are then
+    numbers in one array. With ``rules`` a word counts as ``rule_sentiment_scores`` says.
+    """
+
+    def __init__(self, lexicon: list[tuple[str, float]], rules: bool, modifiers: list[tuple[str, float, bool]], contrast: str):
+        self.words, self.valence, self.rules, self.contrast = [w for w, _ in lexicon], np.array([v for _, v in lexicon], float), rules, contrast
+        known = set(self.words)
+        active = [m for m in modifiers if m[0] not in known]  # a modifier with a valence is an ordinary word
+        self.modifiers = [w for w, _, _ in active]
+        self.boost = np.array([b for _, b, _ in active] + [0.0])
+        self.negates = np.array([n for _, _, n in active] + [False])
+        silent = {w for w, b, _ in modifiers if b}
+        self.silent = np.array([w in silent for w in self.words], bool)
+
+    def totals(self, clean: pa.Array) -> pa.Array:
+        """The sum of each text, null where no word has a valence."""
+        lists = pc.split_pattern(clean.cast(pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+        rows, codes, words = np.repeat(np.arange(len(clean)), sizes), np.asarray(coded.indices), coded.dictionary
+        if self.rules:  # one outer apostrophe is removed, single characters are not words
+            long = np.asarray(pc.greater(pc.utf8_length(words), 1).to_numpy(zero_copy_only=False), bool)
+            words = pc.replace_substring_regex(words, "^'([a-z0-9]{2,})$|^([a-z0-9]{2,})'$", "\\1\\2")
+            rows, codes = rows[long[codes]], codes[long[codes]]
+        place = np.asarray(pc.fill_null(pc.index_in(words, value_set=pa.array(self.words, pa.string())), -1))
+        at = np.flatnonzero(place[codes] >= 0) if len(codes) else np.empty(0, np.int64)
+        sums = np.zeros(len(clean), np.int64)
+        if not len(at):
+            return pa.nulls(len(clean), pa.float64())
+        hits, row = place[codes[at]], rows[at]
+        if self.rules:
+            points, row = self._ruled(words, codes, rows, at, hits)
+            scale = RULE_SCALE * 10
+        else:
+            points, scale = np.rint(self.valence[hits] * PLAIN_SCALE).astype(np.int64), PLAIN_SCALE
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        sums[row[first]] = np.add.reduceat(points, first)
+        found = np.zeros(len(clean), bool)
+        found[row] = True
+        return pa.array(sums / scale, mask=~found)
+
+    def _ruled(self, words: pa.Array, codes: np.ndarray, rows: np.ndarray, at: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Points of each text's distinct words, ordered by text, and the texts."""
+
+        def each(flags: pa.Array) -> np.ndarray:
+            return np.asarray(pc.fill_null(flags, False).to_numpy(zero_copy_only=False), bool)
+
+        begins = np.searchsorted(rows, rows[at])
+        # Uses before the first contrast word weigh half, uses after it one and a half.
+        turns = np.flatnonzero(each(pc.equal(words, self.contrast))[codes])
+        turns = turns[np.concatenate(([True], rows[turns][1:] != rows[turns][:-1]))] if len(turns) else turns
+        turn = np.full(rows[-1] + 1, -1)
+        turn[rows[turns]] = turns
+        turn = turn[rows[at]]
+        weight = np.where((turn < 0) | (at == turn), 10, np.where(at < turn, 5, 15))
+        key, first, back = np.unique(rows[at] * len(self.words) + hits, return_index=True, return_inverse=True)
+        weights = np.bincount(back, weights=weight).astype(np.int64)
+        use, begin, word = at[first], begins[first], hits[first]
+        modifier = np.asarray(pc.fill_null(pc.index_in(words, value_set=pa.array(self.modifiers, pa.string())), -1))
+        negated_by = self.negates[modifier] | each(pc.match_substring(words, "n't"))
+        value = self.valence[word].copy()
+        for k, fade in ((1, 1.0), (2, 0.95), (3, 0.9)):
+            there = use - k >= begin
+            before = codes[np.maximum(use - k, 0)]
+            step = np.where(there, self.boost[modifier[before]], 0.0) * fade
+            value += np.where(value < 0, -step, step)
+            value = np.where(there & negated_by[before], value * lookups.NEGATION_FACTOR, value)
+        after = np.minimum(use + 1, len(codes) - 1)
+        of = each(pc.equal(words, "of"))[codes[after]] & (use + 1 < len(codes)) & (rows[after] == rows[use])
+        kind = each(pc.equal(words, "kind"))[codes[use]]
+        value = np.where(self.silent[word] | (kind & of), 0.0, value)
+        return np.rint(value * RULE_SCALE).astype(np.int64) * weights, rows[use]
+
+
+def scored_in_row(clean: Column | str, lexicon: list[tuple[str, float]], rules: bool, modifiers: list[tuple[str, float, bool]] | None = None, contrast: str = "but") -> Column:
+    """Sentiment of a cleaned text by a lexicon that travels with the task; null without a known word."""
+    scorer = Scorer(lexicon, rules, modifiers if modifiers is not None else modifier_rows(), contrast)
+
+    @F.arrow_udf("double")
+    def totals(texts: pa.Array) -> pa.Array:
+        return scorer.totals(texts)
+
+    return compound(totals(as_column(clean)))
+
+
+def _scores_in_row(reviews: DataFrame, id_col: str, text_col: str, *how) -> DataFrame:
+    scores = reviews.select(id_col, scored_in_row(clean_text(text_col), *how).alias("sentiment_score"))
+    return scores.where("sentiment_score IS NOT NULL")
+
+
 def sentiment_scores(
     reviews: DataFrame,
     lexicon: DataFrame,
@@ -65,22 +176,17 @@ def sentiment_scores(
     text_col: str = "review_text",
     check_size: bool = True,
 ) -> DataFrame:
-    """(id, sentiment_score) of every review that has a word in the lexicon.
+    """(id, sentiment_score) of every review that has a word in the lexicon, whose words are distinct.
 
-    A lexicon proven small is broadcast: words meet it where they were read and
-    only one partial sum per review is shuffled. Otherwise (or with
+    A lexicon proven small is looked up where a text was read. For a larger one (or with
     ``check_size=False`` for one known to be large) words are first counted per
     review, so that a word used in every text arrives once per review, and the
     counts are joined by word; AQE splits a skewed word.
     """
-    words = exploded_words(reviews.select(id_col, text_col), text_col)
-    small = False
-    if check_size:
-        lexicon, small = broadcast_if_bounded(lexicon)
-    if small:
-        words = words.withColumn("n", F.lit(1))
-    else:
-        words = words.groupBy(id_col, "token").agg(F.count("*").alias("n"))
+    small = small_lexicon(lexicon) if check_size else None
+    if small is not None:
+        return _scores_in_row(reviews, id_col, text_col, small, False)
+    words = exploded_words(reviews.select(id_col, text_col), text_col).groupBy(id_col, "token").agg(F.count("*").alias("n"))
     points = F.col("n") * F.col("valence").cast("decimal(12,6)")
     return (
         words.join(lexicon.select("token", "valence"), "token")
@@ -217,15 +323,25 @@ def enrich_reviews(
     top_n: int = 3,
     check_size: bool = True,
     rules: bool = True,
+    modifiers: list[tuple[str, float, bool]] | None = None,
+    contrast: str = "but",
 ) -> DataFrame:
     """Reviews with topics and sentiment, scored by the rules or, without, by the plain sum of valences.
 
-    Topics are settled before the join with the scores, so a mart that needs
-    only month, category and counts never shuffles a text.
+    With a lexicon proven small both are settled inside the row. With a larger one topics
+    are settled before the join with the scores, so a mart that needs only month,
+    category and counts never shuffles a text.
     """
-    scorer = rule_sentiment_scores if rules else sentiment_scores
-    scores = scorer(reviews, lexicon, check_size=check_size)
-    return with_sentiment(with_topics(reviews, topics, threshold, top_n), scores)
+    topical = with_topics(reviews, topics, threshold, top_n)
+    small = small_lexicon(lexicon) if check_size else None
+    if small is not None:
+        score = F.coalesce(scored_in_row("clean_review_text", small, rules, modifiers, contrast), F.lit(0.0))
+        return topical.withColumn("sentiment_score", score).withColumn("sentiment_label", sentiment_label("sentiment_score"))
+    if rules:
+        scores = rule_sentiment_scores(reviews, lexicon, modifiers, contrast, check_size=False)
+    else:
+        scores = sentiment_scores(reviews, lexicon, check_size=False)
+    return with_sentiment(topical, scores)
 
 
 def explode_topics(enriched: DataFrame) -> DataFrame:
@@ -291,11 +407,14 @@ def rule_sentiment_scores(
     counts once per use. Up to three words before it can boost, dampen or negate
     it, unless they carry a valence themselves. Uses before the first contrast
     word weigh half, uses after it one and a half.
+
+    A lexicon proven small is looked up where a text was read; a larger one meets the
+    words with their neighbours in a join.
     """
+    small = small_lexicon(lexicon) if check_size else None
+    if small is not None:
+        return _scores_in_row(reviews, id_col, text_col, small, True, modifiers, contrast)
     spark = reviews.sparkSession
-    small = False
-    if check_size:
-        lexicon, small = broadcast_if_bounded(lexicon)
     listed = spark.createDataFrame(
         modifiers if modifiers is not None else modifier_rows(),
         "word string, boost double, negates boolean",
@@ -323,8 +442,6 @@ def rule_sentiment_scores(
             )
         ).alias("pos", "use"),
     )
-    if small:  # words without a valence end where they were read, before any exchange
-        uses = uses.join(lexicon.select(F.col("token").alias("_known")), F.col("use.token") == F.col("_known"), "left_semi")
     weight = (
         F.when(F.col("turn").isNull() | (F.col("pos") == F.col("turn")), 1.0)
         .when(F.col("pos") < F.col("turn"), 0.5)

@@ -14,8 +14,11 @@ from tillworks.plans.oracle_views import VIEWS, buckets, growth, mean, pct, pear
 from tillworks.plans.registry import query
 from tillworks.session import stored_mart
 from tillworks.sources.star_views import (
+    RULE_CONTRAST,
+    RULE_MODIFIERS,
     TEST_TOPIC_THRESHOLD,
     lexicon,
+    read_docs,
     review_docs,
     review_events,
     review_vectors,
@@ -38,12 +41,10 @@ REVIEW_WHERE = "year({m}) = 1998 AND month({m}) IN (1, 2, 3, 6) AND category IN
 
 
 def enriched(spark: SparkSession, d: str) -> DataFrame:
-    """The lexicon holds every word of the texts, so it is joined, not broadcast.
-
-    The marts' check SQL sums valences; ``sentiment_rules`` checks the rules.
-    """
+    """Written reviews with topics and rule sentiment."""
     return text.enrich_reviews(
-        review_vectors(spark, d), topic_vectors(spark, d), lexicon(spark, d), TEST_TOPIC_THRESHOLD, check_size=False, rules=False
+        review_vectors(spark, d), topic_vectors(spark, d), lexicon(spark), TEST_TOPIC_THRESHOLD,
+        modifiers=RULE_MODIFIERS, contrast=RULE_CONTRAST,
     )
 
 
@@ -323,62 +324,21 @@ def clean_review_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "sentiment_lexicon",
-    ("review_docs", "sentiment"),
+    ("review_docs", "plain_sentiment"),
     """SELECT review_id, coalesce(sentiment_score, 0.0) AS sentiment_score,
   CASE WHEN sentiment_score > 0.05 THEN 'Positive' WHEN sentiment_score < -0.05 THEN 'Negative' ELSE 'Neutral' END AS sentiment_label
-FROM review_docs LEFT JOIN sentiment USING (review_id)""",
+FROM review_docs LEFT JOIN plain_sentiment USING (review_id)""",
 )
 def sentiment_lexicon(spark: SparkSession, d: str) -> DataFrame:
-    docs = review_docs(spark, d)
-    scores = text.sentiment_scores(docs, lexicon(spark, d), check_size=False)
+    docs = read_docs(spark, d)
+    scores = text.sentiment_scores(docs, lexicon(spark))
     return text.with_sentiment(docs.select("review_id"), scores)
 
 
-# Frequent words of the given texts, used as modifiers in place of the English lists.
-RULE_MODIFIERS = [("de", 0.293, False), ("of", 0.293, False), ("to", -0.293, False), ("der", -0.293, False), ("en", 0.0, True), ("and", 0.0, True)]
-RULE_CONTRAST = "that"
-VIEWS["mods"] = ((), f"SELECT * FROM ({values([(w, b, int(n)) for w, b, n in RULE_MODIFIERS])}) m(word, boost, negates)")
-
-
-def rule_lexicon(spark: SparkSession, d: str) -> DataFrame:
-    """Words of even length carry a valence; shorter modifiers stay without one."""
-    words = lexicon(spark, d)
-    return words.filter((F.length("token") % 2 == 0) & ~F.col("token").isin("de", "of", "to", "en"))
-
-
-@query(
-    "sentiment_rules",
-    ("cleaned_docs", "lexicon", "mods"),
-    f"""SELECT review_id, round_even(total / sqrt(total * total + 15.0), 4) AS sentiment_score FROM (
-  SELECT review_id, CAST(sum(CASE WHEN silent THEN 0 ELSE CAST(v3 AS DECIMAL(20,10)) END * weight) AS DOUBLE) AS total FROM (
-    SELECT *, v3raw * CASE WHEN g3 THEN CAST(-0.74 AS DOUBLE) ELSE 1.0 END AS v3 FROM (
-     SELECT *, v2 + CASE WHEN v2 < 0 THEN -(s3 * CAST(0.9 AS DOUBLE)) ELSE s3 * CAST(0.9 AS DOUBLE) END AS v3raw FROM (
-      SELECT *, v2raw * CASE WHEN g2 THEN CAST(-0.74 AS DOUBLE) ELSE 1.0 END AS v2 FROM (
-       SELECT *, v1 + CASE WHEN v1 < 0 THEN -(s2 * CAST(0.95 AS DOUBLE)) ELSE s2 * CAST(0.95 AS DOUBLE) END AS v2raw FROM (
-        SELECT *, v1raw * CASE WHEN g1 THEN CAST(-0.74 AS DOUBLE) ELSE 1.0 END AS v1 FROM (
-         SELECT f.review_id, f.token, f.weight, f.token IN ('de', 'of', 'to', 'der') OR (f.token = 'kind' AND coalesce(f.a1 = 'of', FALSE)) AS silent,
-           l.valence + CASE WHEN l.valence < 0 THEN -coalesce(m1.boost, 0.0) ELSE coalesce(m1.boost, 0.0) END AS v1raw,
-           coalesce(m2.boost, 0.0) AS s2, coalesce(m3.boost, 0.0) AS s3,
-           coalesce(m1.negates = 1, FALSE) OR coalesce(contains(f.b1, 'n''t'), FALSE) AS g1,
-           coalesce(m2.negates = 1, FALSE) OR coalesce(contains(f.b2, 'n''t'), FALSE) AS g2,
-           coalesce(m3.negates = 1, FALSE) OR coalesce(contains(f.b3, 'n''t'), FALSE) AS g3
-         FROM (SELECT review_id, token, sum(CASE WHEN turn = 0 OR pos = turn THEN 1.0 WHEN pos < turn THEN 0.5 ELSE 1.5 END) AS weight,
-                 unnest(min_by({{'b1': b1, 'b2': b2, 'b3': b3, 'a1': a1}}, pos))
-               FROM (SELECT review_id, pos, turn, ws[pos] AS token, CASE WHEN pos > 1 THEN ws[pos - 1] END AS b1,
-                       CASE WHEN pos > 2 THEN ws[pos - 2] END AS b2, CASE WHEN pos > 3 THEN ws[pos - 3] END AS b3,
-                       CASE WHEN pos < len(ws) THEN ws[pos + 1] END AS a1
-                     FROM (SELECT review_id, ws, coalesce(list_position(ws, '{RULE_CONTRAST}'), 0) AS turn, unnest(range(1, len(ws) + 1)) AS pos
-                           FROM (SELECT review_id, list_transform(list_filter(string_split(clean_review_text, ' '), lambda w: length(w) > 1),
-                                   lambda w: regexp_replace(w, '^''([a-z0-9]{{2,}})$|^([a-z0-9]{{2,}})''$', '\\1\\2')) AS ws
-                                 FROM cleaned_docs WHERE clean_review_text <> '')))
-               GROUP BY review_id, token) f
-         JOIN (SELECT * FROM lexicon WHERE length(token) % 2 = 0 AND token NOT IN ('de', 'of', 'to', 'en')) l USING (token)
-         LEFT JOIN mods m1 ON m1.word = f.b1 LEFT JOIN mods m2 ON m2.word = f.b2 LEFT JOIN mods m3 ON m3.word = f.b3)))))) GROUP BY review_id)""",
-)
+@query("sentiment_rules", ("sentiment",), "SELECT * FROM sentiment")
 def sentiment_rules(spark: SparkSession, d: str) -> DataFrame:
-    return text.rule_sentiment_scores(
-        review_docs(spark, d), rule_lexicon(spark, d), RULE_MODIFIERS, RULE_CONTRAST, check_size=False
-    )
+    """Scores by the rules, worked out where each text is read: no exchange at all."""
+    return text.rule_sentiment_scores(read_docs(spark, d), lexicon(spark), RULE_MODIFIERS, RULE_CONTRAST)
 
 
 @query(

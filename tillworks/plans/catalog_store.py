@@ -6,6 +6,9 @@ year. The check SQL says the same over the given tables, without batches or part
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,21 +73,32 @@ def _load(spark: SparkSession, root: str, kind: str, rows: DataFrame) -> list[st
 _STORES: dict[tuple, str] = {}
 
 
-def filled_store(spark: SparkSession, d: str, fresh: bool = False) -> str:
-    """The root of a store with all batches loaded; written once per session and source unless a fresh one is asked for."""
+def filled_store(spark: SparkSession, d: str) -> str:
+    """The root of a store with all batches loaded, written once per session and source."""
     key = (spark.sparkContext.applicationId, d)
-    if fresh or key not in _STORES:
+    if key not in _STORES:
         root = fresh_path(spark, "store")
         sales = sales_batches(spark, d)
         _load(spark, root, "sales", sales.where(F.col("batch_id") != CORRECTION))
         _load(spark, root, "sales", sales.where(F.col("batch_id") == CORRECTION))
         _load(spark, root, "reviews", review_batches(spark, d))
-        if fresh:
-            return root
         _STORES[key] = root
     return _STORES[key]
 
 
+@contextmanager
+def rolled_back(spark: SparkSession, root: str, **batches: list[str]) -> Iterator[None]:
+    """Batches taken back for a while and then counted again, each by one ledger line. Published versions stay as they were."""
+    for names in batches.values():
+        for batch in names:
+            warehouse.roll_back(spark, root, batch)
+    try:
+        yield
+    finally:
+        for kind, names in batches.items():
+            _note(spark, root, kind, names, "completed", 10)
+
+
 # --- what the queries show --------------------------------------------------
 
 
@@ -195,11 +209,9 @@ def batch_rollback(spark: SparkSession, d: str) -> DataFrame:
 
     The orders that were corrected count as they were first loaded. Partials are merged again; no fact is read.
     """
-    root = filled_store(spark, d, fresh=True)
-    warehouse.rebuild_marts(spark, root)
-    for batch in ("sales-1998", CORRECTION, "reviews-1999"):
-        warehouse.roll_back(spark, root, batch)
-    warehouse.rebuild_marts(spark, root)
+    root = filled_store(spark, d)
+    with rolled_back(spark, root, sales=["sales-1998", CORRECTION], reviews=["reviews-1999"]):
+        warehouse.rebuild_marts(spark, root)
     seen = Snapshot(spark, root)
     star = _star_rows(seen).select(
         F.lit("star").alias("layer"), F.col("dimension").alias("mart"), F.col("key").alias("category"), "name", "part", F.col("day").alias("month"),
@@ -214,12 +226,11 @@ def batch_rollback(spark: SparkSession, d: str) -> DataFrame:
 @query("read_during_rebuild", BOTH, f"SELECT * FROM ({_mart_sql('TRUE', 'TRUE')})")
 def read_during_rebuild(spark: SparkSession, d: str) -> DataFrame:
     """What readers see while a rebuild without two batches is broken off half-way: the version before, whole."""
-    root = filled_store(spark, d, fresh=True)
+    root = filled_store(spark, d)
     warehouse.rebuild_marts(spark, root)
-    for batch in ("sales-1998", "reviews-1999"):
-        warehouse.roll_back(spark, root, batch)
-    broken = Rebuild(spark, root)
-    sales = warehouse.merged_sales(spark, root, warehouse.active_batches(spark, root, "sales"))
-    broken.save(marts.sales_growth(sales["day_category"]), "sales_growth")
-    broken.save(sales["day_category"].drop("batch_id"), "sales_days")
+    with rolled_back(spark, root, sales=["sales-1998"], reviews=["reviews-1999"]):
+        broken = Rebuild(spark, root)
+        sales = warehouse.merged_sales(spark, root, warehouse.active_batches(spark, root, "sales"))
+        broken.save(marts.sales_growth(sales["day_category"]), "sales_growth")
+        broken.save(sales["day_category"].drop("batch_id"), "sales_days")
     return _mart_rows(Snapshot(spark, root))  # nothing of the broken version has been published

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from tillworks.functions import lookups
 from tillworks.functions.scalars import URL
+from tillworks.sources.star_views import LEXICON, RULE_CONTRAST, RULE_MODIFIERS
 
 KEY = r"regexp_replace({}, '[\s,.\-_]+', '', 'g')"
 STANDARD = r"regexp_replace(replace(replace(lower(trim({})), '&', 'and'), ',', ''), '\s+', ' ', 'g')"
@@ -121,22 +122,47 @@ GROUP BY t.topic_no, t.topic""",
         ("review_docs",),
         f"""SELECT review_id, {CLEAN.format('review_text')} AS clean_review_text FROM review_docs""",
     ),
-    "words": (
-        ("cleaned_docs",),
-        """SELECT review_id, unnest(string_split(clean_review_text, ' ')) AS token
-FROM cleaned_docs WHERE clean_review_text <> ''""",
+    "lexicon": ((), f"SELECT token, CAST(valence AS DOUBLE) AS valence FROM ({values(LEXICON)}) l(token, valence)"),
+    "plain_sentiment": (
+        ("cleaned_docs", "lexicon"),
+        """SELECT review_id, round_even(total / sqrt(total * total + 15.0), 4) AS sentiment_score
+FROM (SELECT w.review_id, CAST(sum(CAST(l.valence AS DECIMAL(12,6))) AS DOUBLE) AS total
+      FROM (SELECT review_id, unnest(string_split(clean_review_text, ' ')) AS token FROM cleaned_docs) w
+      JOIN lexicon l USING (token) GROUP BY w.review_id)""",
     ),
-    "lexicon": (
-        (),
-        f"""SELECT token, CAST(CAST(length(token) % 5 - 2 AS DECIMAL(4,1)) * CAST(0.9 AS DECIMAL(2,1)) AS DOUBLE) AS valence
-FROM (SELECT DISTINCT unnest(string_split(c, ' ')) AS token
-      FROM (SELECT {CLEAN.format('text')} AS c FROM documents) WHERE c <> '')""",
+    "mods": (
+        ("lexicon",),
+        f"SELECT * FROM ({values([(w, b, int(n)) for w, b, n in RULE_MODIFIERS])}) m(word, boost, negates) WHERE word NOT IN (SELECT token FROM lexicon)",
+    ),
+    "rule_words": (
+        ("cleaned_docs",),
+        """SELECT review_id, list_transform(list_filter(string_split(clean_review_text, ' '), lambda w: length(w) > 1),
+  lambda w: regexp_replace(w, '^''([a-z0-9]{2,})$|^([a-z0-9]{2,})''$', '\\1\\2')) AS ws FROM cleaned_docs WHERE clean_review_text <> ''""",
     ),
     "sentiment": (
-        ("words", "lexicon"),
-        """SELECT review_id, round_even(total / sqrt(total * total + 15.0), 4) AS sentiment_score
-FROM (SELECT w.review_id, CAST(sum(CAST(l.valence AS DECIMAL(12,6))) AS DOUBLE) AS total
-      FROM words w JOIN lexicon l USING (token) GROUP BY w.review_id)""",
+        ("rule_words", "lexicon", "mods"),
+        f"""SELECT review_id, round_even(total / sqrt(total * total + 15.0), 4) AS sentiment_score FROM (
+  SELECT review_id, CAST(sum(CASE WHEN silent THEN 0 ELSE CAST(v3 AS DECIMAL(20,10)) END * weight) AS DOUBLE) AS total FROM (
+    SELECT *, v3raw * CASE WHEN g3 THEN CAST(-0.74 AS DOUBLE) ELSE 1.0 END AS v3 FROM (
+     SELECT *, v2 + CASE WHEN v2 < 0 THEN -(s3 * CAST(0.9 AS DOUBLE)) ELSE s3 * CAST(0.9 AS DOUBLE) END AS v3raw FROM (
+      SELECT *, v2raw * CASE WHEN g2 THEN CAST(-0.74 AS DOUBLE) ELSE 1.0 END AS v2 FROM (
+       SELECT *, v1 + CASE WHEN v1 < 0 THEN -(s2 * CAST(0.95 AS DOUBLE)) ELSE s2 * CAST(0.95 AS DOUBLE) END AS v2raw FROM (
+        SELECT *, v1raw * CASE WHEN g1 THEN CAST(-0.74 AS DOUBLE) ELSE 1.0 END AS v1 FROM (
+         SELECT f.review_id, f.token, f.weight,
+           f.token IN ({', '.join(repr(w) for w, b, _ in RULE_MODIFIERS if b)}) OR (f.token = 'kind' AND coalesce(f.a1 = 'of', FALSE)) AS silent,
+           f.valence + CASE WHEN f.valence < 0 THEN -coalesce(m1.boost, 0.0) ELSE coalesce(m1.boost, 0.0) END AS v1raw,
+           coalesce(m2.boost, 0.0) AS s2, coalesce(m3.boost, 0.0) AS s3,
+           coalesce(m1.negates = 1, FALSE) OR coalesce(contains(f.b1, 'n''t'), FALSE) AS g1,
+           coalesce(m2.negates = 1, FALSE) OR coalesce(contains(f.b2, 'n''t'), FALSE) AS g2,
+           coalesce(m3.negates = 1, FALSE) OR coalesce(contains(f.b3, 'n''t'), FALSE) AS g3
+         FROM (SELECT g.*, CASE WHEN spot > 1 THEN ws[spot - 1] END AS b1, CASE WHEN spot > 2 THEN ws[spot - 2] END AS b2,
+                 CASE WHEN spot > 3 THEN ws[spot - 3] END AS b3, CASE WHEN spot < len(ws) THEN ws[spot + 1] END AS a1
+               FROM (SELECT u.review_id, u.token, any_value(l.valence) AS valence, min(pos) AS spot,
+                       sum(CASE WHEN turn = 0 OR pos = turn THEN 1.0 WHEN pos < turn THEN 0.5 ELSE 1.5 END) AS weight
+                     FROM (SELECT review_id, coalesce(list_position(ws, '{RULE_CONTRAST}'), 0) AS turn, unnest(ws) AS token, unnest(range(1, len(ws) + 1)) AS pos
+                           FROM rule_words) u JOIN lexicon l USING (token) GROUP BY u.review_id, u.token) g
+               JOIN rule_words USING (review_id)) f
+         LEFT JOIN mods m1 ON m1.word = f.b1 LEFT JOIN mods m2 ON m2.word = f.b2 LEFT JOIN mods m3 ON m3.word = f.b3)))))) GROUP BY review_id)""",
     ),
     "ranked_topics": (
         ("review_docs", "topic_vectors", "cleaned_docs"),
@@ -289,5 +315,7 @@ def with_views(names: tuple[str, ...], body: str) -> str:
         visit(name)
     if not ordered:
         return body
-    listed = ",\n".join(f"{name} AS (\n{VIEWS[name][1]}\n)" for name in ordered)
+    # Texts are cleaned and cut into words once, however often a query names them.
+    once = {"cleaned_docs", "rule_words", "sentiment", "plain_sentiment"}
+    listed = ",\n".join(f"{name} AS {'MATERIALIZED ' * (name in once)}(\n{VIEWS[name][1]}\n)" for name in ordered)
     return f"WITH {listed}\n{body}"

