@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillworks.llm.common import ensure_shared_folder, steps, utf8
+from tillworks.llm.common import steps, utf8
 from tillworks.session import fresh_path
 
 CHUNK_BYTES = 4 << 20
@@ -107,7 +107,6 @@ class Texts:
 def chunked(docs: DataFrame, mark, limit: int = CHUNK_BYTES) -> DataFrame:
     """Write ``doc_id, text`` and a small number ``mark`` per document as chunks, bucketed by chunk."""
     spark = docs.sparkSession
-    ensure_shared_folder(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark.cast("int").alias("mark"))
     rows = narrow.mapInArrow(partial(_chunked, limit=limit), CHUNKS)
     name = f"llm_chunks_{uuid.uuid4().hex}"

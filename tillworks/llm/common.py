@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -19,16 +18,9 @@ from tillworks.session import fresh_path
 STEP_BYTES = 4 << 20
 
 
-def ensure_shared_folder(spark: SparkSession) -> None:
-    """Where the session names no shared folder (tests), name a temporary one."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="llm-"))
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back; this also ends the lineage."""
     spark = df.sparkSession
-    ensure_shared_folder(spark)
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm.common import STEP_BYTES, ensure_shared_folder, staged, steps, text_of
+from tillworks.llm.common import STEP_BYTES, staged, steps, text_of
 from tillworks.session import fresh_path
 
 # The names and line forms of WARC 1.1 that the records carry.
@@ -214,7 +214,6 @@ def deduplicated_archives(pages: DataFrame, min_bytes: int = 0) -> str:
     table writes an empty archive; columns besides the three are not read.
     """
     spark = pages.sparkSession
-    ensure_shared_folder(spark)
     path = fresh_path(spark, "warc")
     write_archives(resolved(pages, min_bytes), path)
     return path
