@@ -150,3 +150,48 @@ def test_similarity_has_every_topic(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "review_id int, embedding array<float>")
     topics = spark.createDataFrame([(i, f"t{i}", [1.0, float(i)]) for i in range(9)], "topic_no int, topic string, vector array<double>")
     assert text.topic_similarity(df, topics).count() == 18
+
+
+def test_topics_of_odd_vectors_equal_plain_cosines(spark):
+    rng = np.random.default_rng(4)
+    vectors = [list(map(float, rng.normal(size=3))) for _ in range(40)] + [None, [0.0, 0.0, 0.0], [1.0], [None, 1.0, 0.0], []]
+    topics = [(2, "C", [0.0, 0.0, 0.0]), (0, "A", [1.0, 2.0, 0.5]), (1, "B", [1.0, 2.0, 0.5])]
+    df = spark.createDataFrame(list(enumerate(vectors)), "review_id int, embedding array<double>")
+    frame = spark.createDataFrame(topics, "topic_no int, topic string, vector array<double>")
+    got = {r.review_id: [tuple(t) for t in r.topics] for r in text.rank_topics(df, frame, threshold=-2.0, top_n=None).collect()}
+    for i, v in enumerate(vectors):
+        if v is None or len(v) != 3 or None in v:
+            continue
+        want = []
+        for _, name, t in sorted(topics):
+            lengths = math.sqrt(sum(x * x for x in v)) * math.sqrt(sum(x * x for x in t))
+            want.append((name, round(sum(a * b for a, b in zip(v, t)) / lengths, 4) if lengths else 0.0))
+        assert got[i] == sorted(want, key=lambda w: -w[1]), i
+    assert all(got[i] == [("Other", 0.0)] for i in (40, 42, 44))
+    none = text.rank_topics(df, frame.limit(0)).select("topics").distinct().collect()
+    assert [tuple(t) for t in none[0].topics] == [("Other", 0.0)] and len(none) == 1
+
+
+def test_no_text_meets_an_exchange(spark, sf_dir):
+    """With broadcasts off every join shuffles, and none of them carries a text."""
+    from tillworks.plans import catalog_reviews
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = catalog_reviews.figured(spark, sf_dir)
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"\n\(\d+\) Exchange[^\n]*\nInput[^\n]*", plan)
+    assert moved and not [m for m in moved if "text#" in m.replace("has_text#", "").replace("empty_text#", "")]
+
+
+def test_scorer_equals_the_join_on_odd_texts(spark, lexicon):
+    texts = [None, "", "  ", "good", "but", "x y z", "good but bad", "kind of", "kind", "of kind of", "'good' 'bad", "very", "isn't good " * 300, "a" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "review_id int, review_text string")
+    for scorer in (text.sentiment_scores, text.rule_sentiment_scores):
+        small, joined = ({r.review_id: r.sentiment_score for r in scorer(df, lexicon, check_size=c).collect()} for c in (True, False))
+        assert small == joined and small
+    assert text.small_lexicon(lexicon.limit(0)) == []
+    assert text.sentiment_scores(df, lexicon.limit(0)).collect() == []

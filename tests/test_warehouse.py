@@ -339,3 +339,27 @@ def test_a_local_session_needs_no_named_folder(spark, monkeypatch):
     Context.master = "spark://host:7077"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def test_headers_of_many_files_are_found_in_one_pass(spark, tmp_path):
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    for i in range(60):
+        head = [["a", "b"], ["b", "a"], ["a", 'say "b"', "c,d"]][i % 3]
+        write(folder / f"f{i}.csv", head, [[f"{i}-{h}" for h in head]])
+    (folder / "empty.csv").touch()
+    found = files.headers_found(spark, str(folder))
+    assert sorted((columns, len(paths)) for columns, paths in found.values()) == [(("a", "b"), 20), (("a", 'say "b"', "c,d"), 20), (("b", "a"), 20)]
+    rows = files.scan_csv(spark, str(folder)).collect()
+    assert sorted((r["a"], r["b"], r["c,d"]) for r in rows) == sorted(
+        (f"{i}-a", f"{i}-b" if i % 3 < 2 else None, f"{i}-c,d" if i % 3 == 2 else None) for i in range(60)
+    )
+
+
+def test_missing_headers_of_every_upload(spark, tmp_path):
+    heads = list(SALES_HEADERS)
+    write(tmp_path / "whole.csv", heads, [["1"] * len(heads)])
+    write(tmp_path / "more.csv", [*reversed(heads), "Extra"], [["1"] * (len(heads) + 1)])
+    write(tmp_path / "short.csv", heads[2:], [["1"] * (len(heads) - 2)])
+    found = files.missing_headers(spark, str(tmp_path), "sales").collect()
+    assert {(r.file.rsplit("/", 1)[1], r.missing) for r in found} == {("short.csv", heads[0]), ("short.csv", heads[1])}

@@ -211,9 +211,35 @@ def with_sentiment(
 # --- topics ---------------------------------------------------------------
 
 
-def _dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y)
-    return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
+# Topics travel to the tasks as numbers: a handful of vectors, checked against this many.
+MOST_TOPICS = 10_000
+
+
+def topic_table(topics: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Names and unit vectors of the topics in topic order; a topic of length 0 stays 0."""
+    rows = topics.select("topic_no", "topic", F.col("vector").cast("array<double>").alias("vector")).limit(MOST_TOPICS + 1).collect()
+    if len(rows) > MOST_TOPICS:
+        raise ValueError(f"more than {MOST_TOPICS} topics")
+    rows.sort(key=lambda r: (r["topic_no"], r["topic"]))
+    if not rows:
+        return [], np.zeros((0, 0))
+    vectors = np.array([r["vector"] for r in rows], float)
+    lengths = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return [r["topic"] for r in rows], np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
+
+
+def cosines(embedding: pa.Array, units: np.ndarray) -> pa.Array:
+    """Similarity of each vector of a batch with every topic, in one product; null for a null or unfit vector, 0 for a vector of length 0."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(embedding), -1))
+    flat = embedding.flatten()
+    values = np.asarray(pc.fill_null(flat, float("nan")), float)
+    fits = sizes == units.shape[1]
+    matrix = values[np.repeat(fits, np.maximum(sizes, 0))].reshape(-1, units.shape[1]) if units.shape[1] else np.zeros((int(fits.sum()), 0))
+    lengths = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    dots = np.divide(matrix @ units.T, lengths, out=np.zeros((len(matrix), len(units))), where=lengths > 0)
+    width = np.where(fits, len(units), 0)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(width))), pa.int32()), pa.array(dots.ravel()))
+    return pc.if_else(pa.array(fits), lists, pa.scalar(None, lists.type))
 
 
 def rank_topics(
@@ -226,38 +252,28 @@ def rank_topics(
 ) -> DataFrame:
     """Add ``topics``: the ``top_n`` (None: all) whose cosine similarity reaches the threshold.
 
-    The topics are a handful of rows: they travel as one array of unit vectors,
-    and every review compares, sorts and cuts inside its own row. Equal scores
-    keep topic order. No topic, or an empty text, gives [("Other", 0.0)].
+    The topics are a handful of rows: their unit vectors travel with the task, a batch of
+    reviews is compared in one matrix product, and every review sorts and cuts inside its own
+    row. Equal scores keep topic order. No topic, an empty text or a vector of another
+    length gives [("Other", 0.0)].
     """
-    length = F.sqrt(_dot(F.col("vector"), F.col("vector").cast("array<double>")))
-    unit = F.when(length > 0, F.transform("vector", lambda x: x / length)).otherwise(
-        F.transform("vector", lambda x: x * 0.0)
-    )
-    packed = topics.agg(
-        F.sort_array(F.collect_list(F.struct("topic_no", "topic", unit.alias("unit"))))
-    ).scalar()
-    rows = reviews.withColumns(
-        {"_topics": packed, "_vector": F.col(vector).cast("array<double>")}
-    )
-    v = F.col("_vector")
-    dots = F.transform(
-        "_topics",
-        lambda t: F.struct(t["topic_no"].alias("topic_no"), t["topic"].alias("topic"), _dot(v, t["unit"]).alias("dot")),
-    )
-    # The review's own length is worked out once and repeated, not once per topic.
-    lengths = F.array_repeat(F.sqrt(_dot(v, v)), F.size("_topics"))
-
-    def scored(t: Column, length: Column) -> Column:
-        score = F.round(F.coalesce(F.try_divide(t["dot"], length), F.lit(0.0)), 4)
-        return F.struct(
-            (-score).alias("order"),
-            t["topic_no"].alias("topic_no"),
-            t["topic"].alias("topic"),
-            score.alias("score"),
-        )
+    names, units = topic_table(topics)
+
+    @F.arrow_udf("array<double>")
+    def similarities(embedding: pa.Array) -> pa.Array:
+        return cosines(embedding, units)
+
+    # The places and names are literals of the plan; only scores come from the product.
+    places = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("topic")) for i, name in enumerate(names)])
+    if not names:
+        places = F.array().cast("array<struct<place:int,topic:string>>")
 
-    passing = F.filter(F.zip_with(dots, lengths, scored), lambda s: s["score"] >= threshold)
+    def scored(t: Column, similarity: Column) -> Column:
+        score = F.round(similarity, 4)
+        return F.struct((-score).alias("order"), t["place"].alias("place"), t["topic"].alias("topic"), score.alias("score"))
+
+    rows = reviews.withColumn("_scores", similarities(vector))
+    passing = F.filter(F.zip_with(places, "_scores", scored), lambda s: s["score"] >= threshold)
     ranked = F.sort_array(passing)
     best = F.transform(
         ranked if top_n is None else F.slice(ranked, 1, top_n),
@@ -270,9 +286,42 @@ def rank_topics(
     nothing = F.col("topics").isNull() | (F.size("topics") < 1)
     if is_empty is not None:
         nothing = nothing | is_empty
-    return rows.withColumn("topics", F.when(nothing, other).otherwise(F.col("topics"))).drop(
-        "_topics", "_vector"
-    )
+    return rows.withColumn("topics", F.when(nothing, other).otherwise(F.col("topics"))).drop("_scores")
+
+
+def text_figures(
+    texts: DataFrame, lexicon: DataFrame, id_col: str = "review_id", text_col: str = "review_text",
+    rules: bool = True, modifiers: list[tuple[str, float, bool]] | None = None, contrast: str = "but", check_size: bool = True,
+) -> DataFrame:
+    """What the marts need of each text, without the text: ``has_text, empty_text, sentiment_score, sentiment_label``.
+
+    With a lexicon proven small this is a projection of the scan, so no text meets an exchange.
+    """
+    about = texts.select(
+        id_col, F.col(text_col).isNotNull().alias("has_text"), clean_text(text_col).alias("_clean")
+    ).withColumn("empty_text", F.col("_clean") == "")
+    small = small_lexicon(lexicon) if check_size else None
+    if small is not None:
+        score = F.coalesce(scored_in_row("_clean", small, rules, modifiers, contrast), F.lit(0.0))
+        scored = about.withColumn("sentiment_score", score).withColumn("sentiment_label", sentiment_label("sentiment_score"))
+        return scored.drop("_clean")
+    if rules:
+        scores = rule_sentiment_scores(texts, lexicon, modifiers, contrast, id_col, text_col, check_size=False)
+    else:
+        scores = sentiment_scores(texts, lexicon, id_col, text_col, check_size=False)
+    return with_sentiment(about.drop("_clean"), scores, id_col)
+
+
+def enriched_figures(reviews: DataFrame, vectors: DataFrame, figures: DataFrame, topics: DataFrame, vector_key: str, threshold: float = 0.35, top_n: int | None = 3) -> DataFrame:
+    """Reviews with topics and sentiment but no text: rows of ids, dates, scores, a vector and the figures of the text.
+
+    ``reviews`` has no text column; it meets ``vectors`` by ``vector_key`` and ``figures`` by review_id.
+    The text is for the caller to join back, by review_id, where it is to be shown.
+    """
+    narrow = reviews.withColumns({"review_month": month_start("review_date"), "category": category_key("category")})
+    rows = narrow.join(figures, "review_id").join(vectors, vector_key)
+    ranked = rank_topics(rows, topics, "embedding", F.col("empty_text"), threshold, top_n)
+    return ranked.withColumns(topic_columns()).drop("embedding", "empty_text")
 
 
 def topic_similarity(reviews: DataFrame, topics: DataFrame, vector: str = "embedding") -> DataFrame:

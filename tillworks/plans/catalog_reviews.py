@@ -21,9 +21,10 @@ from tillworks.sources.star_views import (
     read_docs,
     review_docs,
     review_events,
-    review_vectors,
+    review_heads,
     sales_lines,
     topic_vectors,
+    vectors,
 )
 
 # The given tables' own category words, shaped like the fixed lists in lookups.
@@ -40,19 +41,17 @@ REVIEW_WHERE = "year({m}) = 1998 AND month({m}) IN (1, 2, 3, 6) AND category IN
 # --- frames ---------------------------------------------------------------
 
 
-def enriched(spark: SparkSession, d: str) -> DataFrame:
-    """Written reviews with topics and rule sentiment."""
-    return text.enrich_reviews(
-        review_vectors(spark, d), topic_vectors(spark, d), lexicon(spark), TEST_TOPIC_THRESHOLD,
-        modifiers=RULE_MODIFIERS, contrast=RULE_CONTRAST,
-    )
+def figured(spark: SparkSession, d: str, threshold: float = TEST_TOPIC_THRESHOLD) -> DataFrame:
+    """Written reviews with topics and rule sentiment; no text passes through a join."""
+    figures = text.text_figures(read_docs(spark, d), lexicon(spark), modifiers=RULE_MODIFIERS, contrast=RULE_CONTRAST)
+    return text.enriched_figures(review_heads(spark, d), vectors(spark, d), figures, topic_vectors(spark, d), "vec_id", threshold)
 
 
 def build_scored_reviews(spark: SparkSession, d: str) -> DataFrame:
     """Enriched reviews without their texts: what the marts need."""
-    return enriched(spark, d).select(
+    return figured(spark, d).select(
         "review_id", "review_date", "review_month", "review_score", "category", "has_text",
-        "sentiment_score", "sentiment_label", "topics", "topic_count",
+        "sentiment_score", "sentiment_label", "topics", "topic_count", "primary_topic", "primary_topic_score", "topics_text", "topic_scores_text",
     )
 
 
@@ -357,7 +356,8 @@ def sentiment_label_counts(spark: SparkSession, d: str) -> DataFrame:
 FROM review_docs r JOIN embeddings e USING (vec_id) CROSS JOIN topic_vectors t""",
 )
 def topic_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return text.topic_similarity(review_vectors(spark, d), topic_vectors(spark, d))
+    heads = review_heads(spark, d).select("review_id", "vec_id").join(vectors(spark, d), "vec_id")
+    return text.topic_similarity(heads, topic_vectors(spark, d))
 
 
 @query(
@@ -366,8 +366,7 @@ def topic_similarity(spark: SparkSession, d: str) -> DataFrame:
     """SELECT review_id, review_month, category, primary_topic, primary_topic_score, topics_text, topic_scores_text, topic_count FROM enriched""",
 )
 def topic_topn_arrays(spark: SparkSession, d: str) -> DataFrame:
-    rows = text.with_topics(review_vectors(spark, d), topic_vectors(spark, d), TEST_TOPIC_THRESHOLD)
-    return rows.select(
+    return figured(spark, d).select(
         "review_id", "review_month", "category", "primary_topic", "primary_topic_score", "topics_text", "topic_scores_text", "topic_count"
     )
 
@@ -391,7 +390,21 @@ def topic_explode(spark: SparkSession, d: str) -> DataFrame:
   primary_topic, primary_topic_score, topics_text, topic_scores_text, topic_count FROM enriched""",
 )
 def reviews_enriched(spark: SparkSession, d: str) -> DataFrame:
-    return enriched(spark, d).drop("topics", "has_text", "vec_id")
+    """The whole enrichment with its texts, which are joined back to the finished figures."""
+    texts = read_docs(spark, d).withColumn("clean_review_text", clean_text("review_text"))
+    return figured(spark, d).drop("topics", "has_text", "vec_id").join(texts, "review_id")
+
+
+# The same at the default threshold of 0.35.
+_STRICT = """SELECT r.review_id, coalesce(f.n, 1) AS topic_count, coalesce(f.first, 'Other') AS primary_topic, coalesce(f.score, 0.0) AS primary_topic_score
+FROM review_docs r LEFT JOIN (
+  SELECT review_id, least(count(*), 3) AS n, min_by(topic, place) AS first, max(score) AS score FROM ranked_topics WHERE score >= 0.35 GROUP BY review_id
+) f USING (review_id)"""
+
+
+@query("topics_at_default", ("review_docs", "ranked_topics"), f"SELECT review_id, CAST(topic_count AS INTEGER) AS topic_count, primary_topic, primary_topic_score FROM ({_STRICT})")
+def topics_at_default(spark: SparkSession, d: str) -> DataFrame:
+    return figured(spark, d, 0.35).select("review_id", "topic_count", "primary_topic", "primary_topic_score")
 
 
 # --- review marts ---------------------------------------------------------

@@ -3,7 +3,7 @@
 ``sales_lines``   one row per order line, with its customer and product keys
 ``review_events`` one rating per event
 ``review_docs``   one written review per document
-``review_vectors`` / ``topic_vectors`` / ``lexicon`` inputs of the text jobs
+``vectors`` / ``topic_vectors`` / ``lexicon`` inputs of the text jobs
 
 Each builder takes the columns the caller needs and joins only the dimensions
 those columns come from. Every line has its order, customer and product (the
@@ -146,30 +146,29 @@ def read_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), F.col("text").alias("review_text"))
 
 
-def review_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def review_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written reviews without their texts."""
     n_vectors = read_table(spark, sf_dir, "embeddings").agg(F.count("*")).scalar()
     docs = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("review_id"),
         _spread_date("doc_id").alias("review_date"),
         (F.lit(1) + F.col("n_chars") % 5).cast("int").alias("review_score"),
-        F.col("text").alias("review_text"),
         (F.col("doc_id") % n_vectors).alias("vec_id"),
     )
     return _with_part(docs, spark, sf_dir, "review_id", "p_type").select(
-        "review_id",
-        "review_date",
-        "review_score",
-        F.col("p_type").alias("category"),
-        "review_text",
-        "vec_id",
+        "review_id", "review_date", "review_score", F.col("p_type").alias("category"), "vec_id"
+    )
+
+
+def review_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written reviews; their texts are joined by identifier to the finished heads."""
+    return review_heads(spark, sf_dir).join(read_docs(spark, sf_dir), "review_id").select(
+        "review_id", "review_date", "review_score", "category", "review_text", "vec_id"
     )
 
 
-def review_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written reviews with their vector. The text itself is not shuffled for it:
-    embeddings is the small side and Spark broadcasts it when its size allows."""
-    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return review_docs(spark, sf_dir).join(vectors, "vec_id")
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
 
 
 def topic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
