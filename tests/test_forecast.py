@@ -85,11 +85,19 @@ def test_boosted_forecast_is_repeatable_and_not_negative(spark):
     assert sum(r[2] == "forecast" for r in first) == 24
 
 
-def test_boosted_trees_learn_a_step():
-    x = np.array([[i, i % 3] for i in range(40)], dtype=float)
-    y = np.where(x[:, 0] < 20, 1.0, 5.0)
-    predict = forecast._boosted(x, y, 1, 200, 3, 0.1, 0.8)
-    assert np.abs(predict(x) - y).max() < 0.5
+def test_boosted_model_learns_a_step_of_each_series(spark):
+    rows = [(name, m, 2020, 1, 0.0, 0.0, 0.0, 1.0 if (i < 20) == (name == "a") else 5.0) for name in "ab" for i, m in enumerate(months(40))]
+    df = spark.createDataFrame(rows, "series string, sales_month date, year int, month int, lag1 double, lag3 double, rolling_mean3 double, transactions double")
+    stepped = df.withColumn("lag1", F.months_between("sales_month", F.lit("2000-01-01")))
+    model = forecast.boosted_model(stepped, ["series"], "transactions", 40, 3, 0.2, 0.9, 1)
+    scored = model.transform(stepped.withColumn("series_key", F.col("series"))).select("transactions", "prediction").collect()
+    assert max(abs(r.transactions - r.prediction) for r in scored) < 0.5
+
+
+def test_no_series_long_enough_gives_no_rows(spark):
+    df = frame(spark, {"short": series(9)}).withColumnRenamed("total_sales", "transactions")
+    scored = forecast.forecast_transactions(df, ["series"])
+    assert scored.columns == ["series", "sales_month", "kind", "actual", "predicted"] and scored.collect() == []
 
 
 def test_error_metrics(spark):

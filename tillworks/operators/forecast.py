@@ -7,16 +7,20 @@ however large the fact is. Work is spread over series, never gathered.
 from __future__ import annotations
 
 import sys
-import zlib
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillworks.functions.scalars import half_even, month_start
+from tillworks.session import fresh_path
 
 # Tasks get this module's functions with the task; executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -26,6 +30,9 @@ SHARE_MONTHS = 6
 MIN_ROWS = 12
 SALES_LAGS, SALES_MEANS = (1, 3, 6, 12), (3, 6)
 COUNT_LAGS, COUNT_MEANS = (1, 3), (3,)
+MOST_CATEGORIES = 1_000
+# A tree is grown by several passes; a part of fewer rows costs more to start than to read.
+ROWS_A_PART = 10_000
 
 
 # --- monthly inputs -------------------------------------------------------
@@ -203,60 +210,6 @@ def _least_squares(x: np.ndarray, y: np.ndarray):
     return lambda rows: (rows - mean_x) @ weights + mean_y
 
 
-def _grow(x: np.ndarray, residual: np.ndarray, columns: np.ndarray, depth: int):
-    """A regression tree as nested tuples; leaves shrink towards zero by one row."""
-    leaf = residual.sum() / (len(residual) + 1.0)
-    if depth == 0 or len(residual) < 2:
-        return leaf
-    best, parent = None, residual.sum() ** 2 / (len(residual) + 1.0)
-    for c in columns:
-        order = np.argsort(x[:, c], kind="stable")
-        value, left = x[order, c], np.cumsum(residual[order])[:-1]
-        n = np.arange(1, len(residual))
-        right = residual.sum() - left
-        gain = left**2 / (n + 1.0) + right**2 / (len(residual) - n + 1.0) - parent
-        gain[value[1:] == value[:-1]] = -np.inf
-        i = int(np.argmax(gain))
-        if gain[i] > 1e-12 and (best is None or gain[i] > best[0]):
-            best = (gain[i], c, (value[i] + value[i + 1]) / 2)
-    if best is None:
-        return leaf
-    _, c, edge = best
-    low = x[:, c] < edge
-    return (
-        c,
-        edge,
-        _grow(x[low], residual[low], columns, depth - 1),
-        _grow(x[~low], residual[~low], columns, depth - 1),
-    )
-
-
-def _values(tree, x: np.ndarray) -> np.ndarray:
-    """The tree's value for every row."""
-    if not isinstance(tree, tuple):
-        return np.full(len(x), tree)
-    column, edge, below, above = tree
-    low, out = x[:, column] < edge, np.empty(len(x))
-    out[low], out[~low] = _values(below, x[low]), _values(above, x[~low])
-    return out
-
-
-def _boosted(x: np.ndarray, y: np.ndarray, seed: int, trees: int, depth: int, rate: float, sample: float):
-    """Gradient boosted trees for squared error, seeded per series."""
-    rng, base, forest = np.random.default_rng(seed), y.mean(), []
-    fitted = np.full(len(y), base)
-    n_columns = max(1, int(x.shape[1] * sample))
-    for _ in range(trees):
-        rows = rng.random(len(y)) < sample
-        columns = rng.choice(x.shape[1], n_columns, replace=False)
-        if not rows.any():
-            continue
-        tree = _grow(x[rows], (y - fitted)[rows], columns, depth)
-        fitted += rate * _values(tree, x)
-        forest.append(tree)
-    return lambda rows: base + rate * sum((_values(t, rows) for t in forest), np.zeros(len(rows)))
-
-
 def _forecast(monthly: DataFrame, series: Sequence[str], value: str, fit, lags, means, horizon, refit, min_rows):
     """Fit each series on its own and roll the model forward month by month.
 
@@ -322,30 +275,87 @@ def forecast_sales(
     )
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A small table written and read back, so that later steps do not work it out again."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def boosted_model(train: DataFrame, series: Sequence[str], value: str, trees: int, depth: int, rate: float, sample: float, seed: int) -> PipelineModel:
+    """One gradient-boosted model over the rows of all series, which it tells apart by their number.
+
+    Rows are placed by series and month first, so that the draws do not depend on how they came.
+    """
+    key = F.concat_ws("\x01", *series)
+    parts = 1 + train.count() // ROWS_A_PART
+    rows = train.withColumn("series_key", key).repartition(parts, "series_key").sortWithinPartitions("series_key", "sales_month")
+    index = StringIndexer(inputCol="series_key", outputCol="series_no", stringOrderType="alphabetAsc").fit(rows)
+    told_apart = len(index.labels) <= MOST_CATEGORIES  # beyond, the lags alone carry a series' level
+    columns = [*(["series_no"] if told_apart else []), "year", "month", *[f"lag{k}" for k in COUNT_LAGS], *[f"rolling_mean{n}" for n in COUNT_MEANS]]
+    gathered = VectorAssembler(inputCols=columns, outputCol="features")
+    model = GBTRegressor(
+        labelCol=value, featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=sample, seed=seed,
+        maxBins=max(32, len(index.labels) if told_apart else 0), cacheNodeIds=True,
+    )
+    return Pipeline(stages=[index, gathered, model]).fit(rows)
+
+
 def forecast_transactions(
     monthly: DataFrame,
     series: Sequence[str] = ("category",),
     value: str = "transactions",
     horizon: int = HORIZON,
-    trees: int = 400,
+    trees: int = 30,
     depth: int = 4,
-    rate: float = 0.05,
+    rate: float = 0.1,
     sample: float = 0.8,
     seed: int = 42,
 ) -> DataFrame:
-    """Boosted trees per series; a series needs twelve complete feature rows."""
-
-    def fit(x: np.ndarray, y: np.ndarray, key: tuple):
-        own_seed = zlib.crc32(repr((seed, *key)).encode())
-        return _boosted(x, y, own_seed, trees, depth, rate, sample)
+    """Spark ML's boosted trees over the lag features of all series, rolled forward month by month.
 
-    scored = _forecast(
-        monthly, series, value, fit, COUNT_LAGS, COUNT_MEANS, horizon, False, MIN_ROWS
+    The rows are those of ``lag_features``. A series needs twelve complete ones, some of them to
+    train and some to test. Test rows come with their prediction; no prediction is below 0.
+    """
+    spark = monthly.sparkSession
+    keys = list(series)
+    typed = monthly.select(*keys, "sales_month", F.col(value).cast("double").alias(value)).dropna()
+    features = with_split(lag_features(typed, value, keys, COUNT_LAGS, COUNT_MEANS), keys)
+    learnt = F.count_if(F.col("split") == "train")
+    enough = features.groupBy(*keys).agg(F.count("*").alias("n"), learnt.alias("learnt"))
+    enough = enough.where((F.col("n") >= MIN_ROWS) & (F.col("learnt") > 0) & (F.col("learnt") < F.col("n"))).select(*keys)
+    rows = _stored(features.join(enough, keys), "forecast-rows")
+    names = [*keys, "sales_month", "kind", "actual", "predicted"]
+    train = rows.where("split = 'train'")
+    if train.isEmpty():
+        kinds = dict(typed.dtypes)
+        return spark.createDataFrame([], ", ".join([*(f"{k} {kinds[k]}" for k in keys), "sales_month date, kind string, actual double, predicted double"]))
+    model = boosted_model(train, keys, value, trees, depth, rate, sample, seed)
+
+    def predicted(frame: DataFrame) -> DataFrame:
+        scored = model.transform(frame.withColumn("series_key", F.concat_ws("\x01", *keys)))
+        return scored.withColumn("predicted", F.greatest(F.col("prediction"), F.lit(0.0)))  # a count is never below 0
+
+    tested = predicted(rows.where("split = 'test'")).select(
+        *keys, "sales_month", F.lit("test").alias("kind"), F.col(value).alias("actual"), "predicted"
     )
-    return scored.withColumn(
-        "predicted",
-        F.when(F.col("kind") == "forecast", half_even("predicted", 2)).otherwise(F.col("predicted")),
+    # A series is at most a few hundred months; its last ones are all that the next month needs.
+    kept = max(*COUNT_LAGS, *COUNT_MEANS)
+    ordered = F.array_sort(F.collect_list(F.struct("sales_month", F.col(value).alias("value"))))
+    state = typed.join(enough, keys).groupBy(*keys).agg(ordered.alias("_all")).select(
+        *keys, F.element_at("_all", -1)["sales_month"].alias("sales_month"), F.slice(F.transform("_all", lambda m: m["value"]), -kept, kept).alias("history")
     )
+    steps = []
+    for _ in range(horizon):
+        ahead = state.withColumn("sales_month", F.add_months("sales_month", 1))
+        mean = {f"rolling_mean{n}": F.aggregate(F.slice("history", -n, n), F.lit(0.0), lambda total, x: total + x) / n for n in COUNT_MEANS}
+        lags = {f"lag{k}": F.element_at("history", -k) for k in COUNT_LAGS}
+        asked = ahead.withColumns({"year": F.year("sales_month"), "month": F.month("sales_month"), **lags, **mean})
+        found = predicted(asked)
+        history = F.slice(F.concat("history", F.array("predicted")), -kept, kept)
+        state = _stored(found.select(*keys, "sales_month", "predicted", history.alias("history")), "forecast-month")
+        steps.append(state.select(*keys, "sales_month", F.lit("forecast").alias("kind"), F.lit(None).cast("double").alias("actual"), half_even("predicted", 2).alias("predicted")))
+    return reduce(DataFrame.unionByName, steps, tested).select(*names)
 
 
 def only_forecast(scored: DataFrame, name: str, series: Sequence[str] = ("category",)) -> DataFrame:

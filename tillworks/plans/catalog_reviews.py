@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tillworks.functions import lookups
 from tillworks.functions.scalars import category_key, clean_text, half_even
-from tillworks.operators import cleaning, forecast, marts, ratings, reviews, segments, text
+from tillworks.operators import cleaning, forecast, marts, partials, ratings, reviews, segments, text
 from tillworks.plans import dashboards as dash
 from tillworks.plans import report
 from tillworks.plans.oracle_views import VIEWS, buckets, growth, mean, pct, pearson, trend, values
 from tillworks.plans.registry import query
+from tillworks.plans.rollup import sales_for
 from tillworks.session import stored_mart
 from tillworks.sources.star_views import (
     RULE_CONTRAST,
@@ -101,13 +102,13 @@ def summary_of_both(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plain_sales_forecast(spark: SparkSession, d: str) -> DataFrame:
-    monthly = forecast.monthly_sales(sales_lines(spark, d, "category", "order_date", "sales"), "category")
+    monthly = forecast.monthly_sales(sales_for(spark, d, "category", "order_date", "sales"), "category")
     ahead = forecast.same_month_last_year(monthly, "total_sales")
     return ahead.select("category", category_key("category").alias("category_key"), "sales_month", F.col("total_sales").alias("sales"))
 
 
 def plain_transaction_forecast(spark: SparkSession, d: str) -> DataFrame:
-    monthly = forecast.monthly_orders(sales_lines(spark, d, "category", "order_date", "order_id"), "category")
+    monthly = partials.monthly_orders(sales_for(spark, d, "category", "order_date", "orders"), "category")
     ahead = forecast.same_month_last_year(monthly, "transactions")
     return ahead.select(
         "category", category_key("category").alias("category_key"), "sales_month", F.col("transactions").alias("forecast_transactions")
@@ -732,7 +733,8 @@ FROM (SELECT (SELECT sum(sales) FROM sales_lines WHERE year(order_date) = {Y}) A
              (SELECT sum(sales) FROM sales_forecast WHERE year(sales_month) = (SELECT max(year(sales_month)) FROM sales_forecast)) AS f)""",
 )
 def report_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return report.forecast_section(report_sales(spark, d), plain_sales_forecast(spark, d), plain_transaction_forecast(spark, d), Y)
+    sales = sales_for(spark, d, "category", "category_key", "order_date", "sales", "orders")
+    return report.forecast_section(sales, plain_sales_forecast(spark, d), plain_transaction_forecast(spark, d), Y)
 
 
 @query(
@@ -768,7 +770,7 @@ UNION ALL SELECT 'forecast_year', y, CAST(y AS VARCHAR) FROM (SELECT CAST(max(ye
 UNION ALL SELECT DISTINCT 'category', CAST(NULL AS INTEGER), category FROM combined""",
 )
 def report_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return report.metadata(sales_lines(spark, d, "order_date"), combined(spark, d), plain_sales_forecast(spark, d))
+    return report.metadata(sales_for(spark, d, "order_date"), combined(spark, d), plain_sales_forecast(spark, d))
 
 
 # --- forecast -------------------------------------------------------------
@@ -929,9 +931,13 @@ def forecast_sales_by_series(spark: SparkSession, d: str) -> DataFrame:
     return forecast.forecast_sales(monthly, ["category", "subcategory"])
 
 
+def build_scored_transactions(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.forecast_transactions(partials.monthly_orders(sales_for(spark, d, "category", "order_date", "orders"), "category"))
+
+
 def scored_transactions(spark: SparkSession, d: str) -> DataFrame:
-    monthly = forecast.monthly_orders(sales_lines(spark, d, "category", "order_date", "order_id"), "category")
-    return forecast.forecast_transactions(monthly)
+    """Test rows and forecasts of the boosted model, fitted once per session and source."""
+    return stored_mart(spark, "scored-transactions", d, build_scored_transactions)
 
 
 @query("forecast_transactions")

@@ -10,6 +10,7 @@ from tillworks.operators import cleaning, dimensions, marts
 from tillworks.plans import dashboards as dash
 from tillworks.plans.oracle_views import KEY, MONTH, STANDARD, pct
 from tillworks.plans.registry import query
+from tillworks.plans.rollup import sales_for
 from tillworks.session import fresh_path
 from tillworks.sources import files, tables
 from tillworks.sources.star_views import customers, products, read_table, review_docs, review_events, sales_lines
@@ -21,6 +22,11 @@ def fact(spark: SparkSession, d: str, *extra: str) -> DataFrame:
     return sales_lines(spark, d, "order_date", "sales", "profit", *extra)
 
 
+def days(spark: SparkSession, d: str, *extra: str) -> DataFrame:
+    """Totals to add up: of the stored rollup, which has what the dashboards below ask for."""
+    return sales_for(spark, d, "order_date", "sales", "profit", *extra)
+
+
 def key_sales(spark: SparkSession, d: str) -> DataFrame:
     """Lines whose customer id is the surrogate key, as the clean step makes it."""
     return sales_lines(spark, d, "customer_key", "customer_name", "city", "order_date").withColumnRenamed(
@@ -455,7 +461,7 @@ PERIOD = {"years": [1998, 1999], "months": [1, 2, 6]}
 FROM sales_lines GROUP BY 1, 2""",
 )
 def quarterly_sales(spark: SparkSession, d: str) -> DataFrame:
-    return dash.quarterly_sales(fact(spark, d))
+    return dash.quarterly_sales(days(spark, d))
 
 
 MARGIN = pct("sum(profit)", "sum(sales)")
@@ -469,7 +475,7 @@ MARGIN = pct("sum(profit)", "sum(sales)")
 UNION ALL SELECT NULL, CAST(sum(sales) AS DOUBLE), CAST(sum(profit) AS DOUBLE), {MARGIN}, 1 FROM sales_lines""",
 )
 def yearly_margin(spark: SparkSession, d: str) -> DataFrame:
-    return dash.yearly_margin(fact(spark, d))
+    return dash.yearly_margin(days(spark, d))
 
 
 @query(
@@ -548,7 +554,7 @@ UNION ALL SELECT 'default_month', CAST(month(max(order_date)) AS INTEGER), CAST(
 UNION ALL SELECT 'default_day', CAST(day(max(order_date)) AS INTEGER), CAST(day(max(order_date)) AS VARCHAR) FROM sales_lines""",
 )
 def sales_filter_options(spark: SparkSession, d: str) -> DataFrame:
-    return dash.sales_filter_options(sales_lines(spark, d, "order_date"), [1998, 2000], [2, 7])
+    return dash.sales_filter_options(sales_for(spark, d, "order_date"), [1998, 2000], [2, 7])
 
 
 @query(
@@ -558,7 +564,7 @@ def sales_filter_options(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT NULL, {TOTALS}, count(*), 1 FROM sales_lines WHERE {DAYS}""",
 )
 def category_summary_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return dash.category_summary(fact(spark, d, "category"), **FILTER)
+    return dash.category_summary(days(spark, d, "category", "lines"), **FILTER)
 
 
 @query(
@@ -568,7 +574,7 @@ def category_summary_filtered(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT NULL, {TOTALS}, count(*), 1 FROM sales_lines""",
 )
 def category_summary_all(spark: SparkSession, d: str) -> DataFrame:
-    return dash.category_summary(fact(spark, d, "category"))
+    return dash.category_summary(days(spark, d, "category", "lines"))
 
 
 @query(
@@ -577,7 +583,7 @@ def category_summary_all(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT round_even(CAST(sum(sales) AS DOUBLE) / count(*), 2) AS avg_transaction_value FROM sales_lines WHERE {DAYS}",
 )
 def avg_transaction(spark: SparkSession, d: str) -> DataFrame:
-    return dash.avg_transaction(fact(spark, d), **FILTER)
+    return dash.avg_transaction(days(spark, d, "lines"), **FILTER)
 
 
 @query(
@@ -586,7 +592,7 @@ def avg_transaction(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT category, count(*) AS transactions FROM sales_lines WHERE {DAYS} GROUP BY category",
 )
 def orders_by_category(spark: SparkSession, d: str) -> DataFrame:
-    return dash.orders_by_category(fact(spark, d, "category"), **FILTER)
+    return dash.orders_by_category(days(spark, d, "category", "lines"), **FILTER)
 
 
 @query(
@@ -595,7 +601,7 @@ def orders_by_category(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT category, CAST(sum(sales) AS DOUBLE) AS sales FROM sales_lines WHERE {DAYS} GROUP BY category",
 )
 def sales_by_category(spark: SparkSession, d: str) -> DataFrame:
-    return dash.sales_by_category(fact(spark, d, "category"), **FILTER)
+    return dash.sales_by_category(days(spark, d, "category"), **FILTER)
 
 
 @query(
@@ -604,7 +610,7 @@ def sales_by_category(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT category, CAST(sum(profit) AS DOUBLE) AS profit FROM sales_lines WHERE {DAYS} GROUP BY category",
 )
 def profit_by_category(spark: SparkSession, d: str) -> DataFrame:
-    return dash.profit_by_category(fact(spark, d, "category"), **FILTER)
+    return dash.profit_by_category(days(spark, d, "category"), **FILTER)
 
 
 @query(
@@ -613,7 +619,7 @@ def profit_by_category(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT CAST(day(order_date) AS INTEGER) AS day, {TOTALS} FROM sales_lines WHERE {MONTHS} GROUP BY 1",
 )
 def day_of_month_series(spark: SparkSession, d: str) -> DataFrame:
-    return dash.day_of_month_series(fact(spark, d), **PERIOD)
+    return dash.day_of_month_series(days(spark, d), **PERIOD)
 
 
 KPIS = f"""SELECT coalesce(CAST(round(sum(sales), 2) AS DOUBLE), 0.0) AS total_revenue,
@@ -642,7 +648,7 @@ UNION ALL SELECT 'default_year1', y, CAST(y AS VARCHAR) FROM (SELECT CAST(min(y)
   (SELECT DISTINCT year(order_date) AS y FROM sales_lines ORDER BY y DESC LIMIT 2))""",
 )
 def comparison_options(spark: SparkSession, d: str) -> DataFrame:
-    return dash.comparison_options(sales_lines(spark, d, "order_date"))
+    return dash.comparison_options(sales_for(spark, d, "order_date"))
 
 
 def _pair(value: str, i: int, when: str) -> str:
@@ -657,7 +663,7 @@ def _pair(value: str, i: int, when: str) -> str:
 FROM sales_lines WHERE year(order_date) IN (1998, 1999) GROUP BY 1, 2""",
 )
 def compare_yoy(spark: SparkSession, d: str) -> DataFrame:
-    return dash.compare_years(fact(spark, d), 1998, 1999)
+    return dash.compare_years(days(spark, d), 1998, 1999)
 
 
 @query(
@@ -668,7 +674,7 @@ def compare_yoy(spark: SparkSession, d: str) -> DataFrame:
 FROM sales_lines WHERE year(order_date) = 1998 AND month(order_date) IN (2, 3) GROUP BY 1""",
 )
 def compare_mom(spark: SparkSession, d: str) -> DataFrame:
-    return dash.compare_months(fact(spark, d), (1998, 2), (1998, 3))
+    return dash.compare_months(days(spark, d), (1998, 2), (1998, 3))
 
 
 @query(
@@ -679,7 +685,7 @@ def compare_mom(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT category, sum(sales) AS s FROM sales_lines GROUP BY category)""",
 )
 def share_of_total(spark: SparkSession, d: str) -> DataFrame:
-    return dash.share_of_total(dash.sales_by_category(fact(spark, d, "category")), "sales")
+    return dash.share_of_total(dash.sales_by_category(days(spark, d, "category")), "sales")
 
 
 @query(

@@ -98,7 +98,7 @@ def top_customers(
 def sales_filter_options(sales: DataFrame, years: Ints = (), months: Ints = ()) -> DataFrame:
     """Choices for the filter boxes: (option, value, label).
 
-    The fact is reduced to its distinct days once; all lists come from those.
+    Each list reads the days again: give it the totals per day, not the fact.
     """
     dates = sales.select("order_date").dropna().distinct()
     latest = dates.agg(F.max("order_date").alias("d"))
@@ -127,13 +127,18 @@ def sales_filter_options(sales: DataFrame, years: Ints = (), months: Ints = ())
     return result
 
 
+def _lines(sales: DataFrame) -> Column:
+    """Order lines: totals bring their counts, rows of the fact are counted."""
+    return F.sum("lines") if "lines" in sales.columns else F.count("*")
+
+
 def _by_category(sales: DataFrame, years: Ints, months: Ints, days: Ints, *what: Column) -> DataFrame:
     return by_date_parts(sales, "order_date", years, months, days).groupBy("category").agg(*what)
 
 
 def category_summary(sales: DataFrame, years: Ints = (), months: Ints = (), days: Ints = ()) -> DataFrame:
     """Category rows and one total row, for the chosen dates."""
-    rows = _by_category(sales, years, months, days, *_totals(F.count("*").alias("transactions")))
+    rows = _by_category(sales, years, months, days, *_totals(_lines(sales).alias("transactions")))
     rolled = rows.rollup("category").agg(
         *_totals(
             F.sum("transactions").alias("transactions"),
@@ -151,14 +156,14 @@ def category_summary(sales: DataFrame, years: Ints = (), months: Ints = (), days
 
 def avg_transaction(sales: DataFrame, years: Ints = (), months: Ints = (), days: Ints = ()) -> DataFrame:
     chosen = by_date_parts(sales, "order_date", years, months, days)
-    totals = chosen.agg(F.sum("sales").alias("sales"), F.count("*").alias("n"))
+    totals = chosen.agg(F.sum("sales").alias("sales"), _lines(sales).alias("n"))
     return totals.select(
         F.coalesce(half_even(safe_ratio("sales", "n"), 2), F.lit(0.0)).alias("avg_transaction_value")
     )
 
 
 def orders_by_category(sales: DataFrame, years: Ints = (), months: Ints = (), days: Ints = ()) -> DataFrame:
-    return _by_category(sales, years, months, days, F.count("*").alias("transactions"))
+    return _by_category(sales, years, months, days, _lines(sales).alias("transactions"))
 
 
 def sales_by_category(sales: DataFrame, years: Ints = (), months: Ints = (), days: Ints = ()) -> DataFrame:

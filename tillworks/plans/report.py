@@ -256,8 +256,10 @@ def forecast_section(
     sold = _current_against_forecast(
         now.groupBy("category_key").agg(F.sum("sales").alias("current")), forecast_rows(sales_forecast, "sales")
     )
+    # Totals per day bring their order counts; rows of the fact are counted.
+    counted = F.sum("orders") if "orders" in sales.columns else F.count_distinct("order_id")
     ordered = _current_against_forecast(
-        now.groupBy("category_key").agg(F.count_distinct("order_id").alias("current")),
+        now.groupBy("category_key").agg(counted.alias("current")),
         forecast_rows(transaction_forecast, "forecast_transactions"),
     )
     total = sold.agg(F.sum("current").alias("current"), F.sum("forecast").alias("forecast"))
