@@ -33,7 +33,6 @@ def check_pieces(docs, sequence):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     ids = {}
     for doc, text in rows:
@@ -72,8 +71,16 @@ def test_copies_are_neighbours(spark):
     assert sum(x != y for x, y in zip(sides, sides[1:])) <= 1
 
 
-def test_special_tokens_in_a_text_are_ordinary_text():
-    assert 50256 not in packing.token_ids("<|endoftext|> and more")
+def test_special_tokens_in_a_text_are_those_of_the_file_as_loaded(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "<|endoftext|", " <|endoftext|>\n", "<|ENDOFTEXT|>"]
+    for text in texts:
+        assert packing.token_ids(text).tolist() == library.encode(text, add_special_tokens=False).ids + [1]
+    assert packing.token_ids(texts[0]).tolist() == [64, 220, 50256, 275, 1]
+    check_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2048)
 
 
 def test_packing_nothing(nothing):

@@ -11,8 +11,8 @@
 
 The ids are those of the byte-level vocabulary file in ``tokenizers`` form; they are
 worked out with tiktoken from the same vocabulary as ranks, which gives the same ids
-in a fraction of the time. Strings of special tokens in a text are ordinary text: the file
-as loaded gives ``<|endoftext|>`` the id 50256 instead, unless encode_special_tokens is set.
+in a fraction of the time. As with that file as loaded, a literal ``<|endoftext|>`` in a text is
+the single id 50256.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ END_OF_TEXT = 1
 BUCKETS = 256
 DIMENSIONS, BITS = 3, 20
 RANKS = "byte_bpe_50k.tiktoken"
+# Fixed value: the one special token of the vocabulary file.
+SPECIAL = {"<|endoftext|>": 50256}
 STEP = 1 << 20
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -101,13 +103,13 @@ def _encoder(ranks: str) -> tiktoken.Encoding:
     if ranks not in _ENCODERS:
         with open(public_tokenizers.path(ranks), "rb") as lines:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[ranks] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+        _ENCODERS[ranks] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=SPECIAL)
     return _ENCODERS[ranks]
 
 
 def token_ids(text: str | None, ranks: str = RANKS, end: int = END_OF_TEXT) -> np.ndarray:
     """The ids of a text with the end id, as little-endian 32-bit numbers; null counts as empty."""
-    return np.array([*_encoder(ranks).encode_ordinary(text or ""), end], "<u4")
+    return np.array([*_encoder(ranks).encode(text or "", allowed_special="all"), end], "<u4")
 
 
 def powers_of_two(n: int) -> list[int]:
