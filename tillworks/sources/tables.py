@@ -70,15 +70,3 @@ def current_status(events: DataFrame, order: tuple[str, ...] = ("at", "status_no
     """Latest status of every batch. max_by over a struct combines map-side."""
     latest = F.max_by("status", F.struct(*order)).alias("status")
     return events.groupBy("batch_id").agg(latest, F.count("*").alias("n_events"))
-
-
-def active_rows(rows: DataFrame, events: DataFrame, order: tuple[str, ...] = ("at", "status_no")) -> DataFrame:
-    """Rows of batches that were not rolled back.
-
-    The names of rolled-back batches, one per upload, go into a filter on the partition
-    column: their folders are not read, and no row is shuffled for it.
-    """
-    gone = current_status(events, order).filter(F.col("status") == ROLLED_BACK).select("batch_id")
-    names = [r["batch_id"] for r in gone.collect()]
-    return rows.filter(~F.col("batch_id").isin(names)) if names else rows
-
