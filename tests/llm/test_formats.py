@@ -162,6 +162,9 @@ TURNS = "pair_id long, turn long, role string, text string"
 def formatted(spark, chosen, rejected):
     frames = [spark.createDataFrame(rows, TURNS).withColumn("place", F.lit("clash")).withColumn("part", F.lit(0)) for rows in (chosen, rejected)]
     rows = preferences.format_preferences(*frames).collect()
+    answers = [r["rendered"][r["train_from"] :] for r in rows if r["train"]]
+    assert all(r["rendered"] == f"<|assistant|>\n{a}" for r, a in zip((r for r in rows if r["train"]), answers))
+    assert all(r["train_from"] is None for r in rows if not r["train"])
     return sorted((r["pair_id"], r["part"], r["place"], r["rendered"], r["train"]) for r in rows)
 
 
@@ -194,6 +197,51 @@ def test_preferences_prefixes_nulls_and_unpaired(spark):
     ]
 
 
+def plain_echo_pairs(rows):
+    """Parts of every conversation by lists."""
+    order = lambda r: [(x is not None, x if x is not None else 0) for x in r]
+    talks = {}
+    for conv, *turn_row in rows:
+        if conv is not None:
+            talks.setdefault(conv, []).append(tuple(turn_row))
+    out = []
+    for conv, turns in talks.items():
+        turns.sort(key=order)
+        replies = [t for t, role, _ in turns if role == "assistant"]
+        other = turns
+        if replies:
+            reply = replies[-1]
+            other = [r for r in turns if order(r[:1]) < order((reply,))] + [(reply, "assistant", turns[0][2])]
+        same = 0
+        while same < min(len(turns), len(other)) and turns[same][1:] == other[same][1:]:
+            same += 1
+        show = lambda part, place, r: (conv, part, place, turn(r[1] or "", r[2] or ""), part != "prompt" and r[1] == "assistant")
+        out += [show("prompt" if i < same else "chosen", i, r) for i, r in enumerate(turns)]
+        out += [show("rejected", i, r) for i, r in enumerate(other) if i >= same]
+    return sorted(out)
+
+
+def test_every_conversation_has_rows(spark):
+    rows = [
+        (1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"),
+        (2, 0, "user", "only a question"), (2, 1, "system", None),  # no answer: all prompt
+        (3, None, "user", "first"), (3, 1, "assistant", "x"), (3, 1, "assistant", "y"), (3, 1, "user", "z"),
+        (4, None, "assistant", "an answer without a turn"), (4, None, None, None), (4, 3, "user", "u"),
+        (5, 2, None, None), (5, 2, "assistant", None),
+        (6, 1, "assistant", "same"), (6, 1, "assistant", "same"),
+        (7, None, None, "x"),
+        (None, 0, "user", "of no conversation"),
+    ]
+    talks = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = preferences.format_preferences(*preferences.echo_pairs(talks)).collect()
+    assert sorted((r["pair_id"], r["part"], r["place"], r["rendered"], r["train"]) for r in got) == plain_echo_pairs(rows)
+    assert {r["pair_id"] for r in got} == {1, 2, 3, 4, 5, 6, 7}
+
+    given = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text")
+    got = preferences.format_preferences(*preferences.echo_pairs(given)).collect()
+    assert sorted((r["pair_id"], r["part"], r["place"], r["rendered"], r["train"]) for r in got) == plain_echo_pairs([tuple(r) for r in given.collect()])
+
+
 def test_long_conversations_are_counted_in_blocks(spark):
     n = 5000
     chosen = [(1, i, "user", str(i)) for i in range(n)]

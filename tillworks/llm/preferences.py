@@ -20,8 +20,12 @@ BLOCK = 1024
 TRAINED_ROLE = "assistant"
 
 
+def header(role: str = "role"):
+    return F.concat(F.lit("<|"), F.coalesce(F.col(role), F.lit("")), F.lit("|>\n"))
+
+
 def rendered(role: str = "role", text: str = "text"):
-    return F.concat(F.lit("<|"), F.coalesce(F.col(role), F.lit("")), F.lit("|>\n"), F.coalesce(F.col(text), F.lit("")), F.lit("<|end|>\n"))
+    return F.concat(header(role), F.coalesce(F.col(text), F.lit("")), F.lit("<|end|>\n"))
 
 
 def placed(turns: DataFrame) -> DataFrame:
@@ -32,11 +36,12 @@ def placed(turns: DataFrame) -> DataFrame:
 
 
 def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows ``pair_id, part, place, role, rendered, train`` from two tables ``pair_id, turn, role, text``.
+    """Rows ``pair_id, part, place, role, rendered, train, train_from`` from two tables ``pair_id, turn, role, text``.
 
     ``part`` is prompt, chosen or rejected; ``place`` counts the turns of the whole
-    conversation from 0; ``train`` marks the characters to learn: assistant turns of
-    the completions. Null roles and texts are rendered as empty and equal each
+    conversation from 0; ``train`` marks the turns to learn, the assistant's in the
+    completions. Of these the characters from ``train_from`` on are learnt, the answer and its end
+    mark but not the role; it is null elsewhere. Null roles and texts are rendered as empty and equal each
     other only; rows with a null pair are left out, as they belong to no pair, and
     so are pairs that only one table has. A side that is a prefix of the other
     has no completion rows. Repeated turns are turns of their own. Extra columns are
@@ -70,6 +75,7 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
         "preference-prefixes",
     )
     shared = F.col("place") < F.col("shared")
+    train = F.coalesce(~shared & (F.col("role") == TRAINED_ROLE), F.lit(False))
     return (
         turns.join(prefix, "pair_id")
         .where(~shared | (F.col("part") == "chosen"))
@@ -79,7 +85,8 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
             "place",
             "role",
             rendered().alias("rendered"),
-            F.coalesce(~shared & (F.col("role") == TRAINED_ROLE), F.lit(False)).alias("train"),
+            train.alias("train"),
+            F.when(train, F.length(header())).cast("long").alias("train_from"),
         )
     )
 
@@ -89,18 +96,20 @@ def echo_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Chosen is the conversation as it is. Rejected is the same conversation with its last
     assistant turn replaced by an echo of the first turn's text, and nothing after it.
-    Conversations without an assistant turn make no pair: no answer could be chosen or
-    rejected. Rows with a null conversation or turn are left out; the check SQL does the same.
+    A conversation without an assistant turn is both sides alike, so all of it becomes prompt.
+    Turns are taken in the order of ``placed``, null turns first: the first row's text is the echo,
+    and an answer that has only a null turn has nothing before it. Rows with a null conversation
+    belong to no pair and are left out.
     """
-    turns = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", "text")
-    ends = turns.groupBy("conv_id").agg(
-        F.min("turn").alias("opening"), F.max(F.when(F.col("role") == TRAINED_ROLE, F.col("turn"))).alias("reply")
+    turns = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    answer = F.coalesce(F.col("role") == TRAINED_ROLE, F.lit(False))
+    ends = turns.groupBy("pair_id").agg(
+        F.min(F.struct("turn", "role", "text"))["text"].alias("opening"),
+        F.max(F.when(answer, F.col("turn"))).alias("reply"),
+        F.bool_or(answer).alias("answered"),
     )
-    ends = staged(ends.where("reply IS NOT NULL"), "conversation-ends")
-    opening = turns.join(ends.select("conv_id", F.col("opening").alias("turn"), "reply"), ["conv_id", "turn"])
-    opening = opening.groupBy("conv_id", "reply").agg(F.min("text").alias("text"))
-    echo = opening.select(F.col("conv_id").alias("pair_id"), F.col("reply").alias("turn"), F.lit(TRAINED_ROLE).alias("role"), "text")
-    paired = turns.join(ends.select("conv_id", "reply"), "conv_id")
-    chosen = paired.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    before = paired.where("turn < reply").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    return chosen, before.unionByName(echo)
+    ends = staged(ends, "conversation-ends")
+    earlier = F.col("reply").isNotNull() & (F.col("turn").isNull() | (F.col("turn") < F.col("reply")))
+    before = turns.join(ends.drop("opening"), "pair_id").where(~F.col("answered") | earlier).select("pair_id", "turn", "role", "text")
+    echo = ends.where("answered").select("pair_id", F.col("reply").alias("turn"), F.lit(TRAINED_ROLE).alias("role"), F.col("opening").alias("text"))
+    return turns, before.unionByName(echo)

@@ -97,21 +97,18 @@ def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH ends AS (
-  SELECT conv_id, min(turn) AS opening, max(turn) FILTER (WHERE role = 'assistant') AS reply
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id
-), echo AS (
-  SELECT e.conv_id, e.reply, min(c.text) AS text
-  FROM ends e JOIN conversations c ON c.conv_id = e.conv_id AND c.turn = e.opening
-  WHERE e.reply IS NOT NULL GROUP BY ALL
+  SELECT conv_id, first(text ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS opening,
+    max(turn) FILTER (WHERE role = 'assistant') AS reply, count(*) FILTER (WHERE role = 'assistant') > 0 AS answered
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
 ), sides AS (
-  SELECT 'chosen' AS part, c.conv_id AS pair_id, c.turn, c.role, c.text
-  FROM conversations c JOIN echo USING (conv_id) WHERE c.turn IS NOT NULL
+  SELECT 'chosen' AS part, conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
   UNION ALL
-  SELECT 'rejected', c.conv_id, c.turn, c.role, c.text FROM conversations c JOIN echo e USING (conv_id) WHERE c.turn < e.reply
+  SELECT 'rejected', c.conv_id, c.turn, c.role, c.text FROM conversations c JOIN ends e USING (conv_id)
+  WHERE NOT e.answered OR (e.reply IS NOT NULL AND (c.turn IS NULL OR c.turn < e.reply))
   UNION ALL
-  SELECT 'rejected', conv_id, reply, 'assistant', text FROM echo
+  SELECT 'rejected', conv_id, reply, 'assistant', opening FROM ends WHERE answered
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY part, pair_id ORDER BY turn, role NULLS FIRST, text NULLS FIRST) - 1 AS place FROM sides
+  SELECT *, row_number() OVER (PARTITION BY part, pair_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place FROM sides
 ), differs AS (
   SELECT pair_id, place FROM placed GROUP BY pair_id, place
   HAVING count(*) <> 2 OR min(coalesce(role, chr(1))) <> max(coalesce(role, chr(1))) OR min(coalesce(text, chr(1))) <> max(coalesce(text, chr(1)))
@@ -121,7 +118,8 @@ WITH ends AS (
 )
 SELECT p.pair_id, CASE WHEN p.place < s.shared THEN 'prompt' ELSE p.part END AS part, p.place::BIGINT AS place, p.role,
   '<|' || coalesce(p.role, '') || '|>' || chr(10) || coalesce(p.text, '') || '<|end|>' || chr(10) AS rendered,
-  p.place >= s.shared AND coalesce(p.role = 'assistant', false) AS train
+  p.place >= s.shared AND coalesce(p.role = 'assistant', false) AS train,
+  CASE WHEN p.place >= s.shared AND p.role = 'assistant' THEN length('<|assistant|>') + 1 END AS train_from
 FROM placed p JOIN shared s USING (pair_id)
 WHERE p.place >= s.shared OR p.part = 'chosen'
 """
