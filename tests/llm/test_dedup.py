@@ -173,6 +173,38 @@ def test_passages_that_many_chunks_share(spark, monkeypatch):
     assert ordered(rows_of(suffix_dedup.without_repeats(docs))) == plain_repeats(rows)
 
 
+def test_whole_copies_and_many_key_ranges(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 64 << 10)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 4 << 10)
+    rng = np.random.default_rng(11)
+    parts = ["".join(rng.choice(list("abcdé "), 90)) for _ in range(12)]
+    texts = ["".join(parts[i] for i in rng.choice(12, 3)) for _ in range(25)] + [None, "", "short", "x" * 49, "x" * 50]
+    ids = [*range(40), None, None, None, 7, 7]
+    rows = [(i, texts[int(rng.integers(len(texts)))]) for i in ids] + [(100 + i, texts[3]) for i in range(40)]
+    rows += [(None, "only without an identifier " * 3)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert ordered(rows_of(suffix_dedup.without_repeats(docs))) == plain_repeats(rows)
+
+
+@pytest.mark.parametrize("length, gram", [(50, 20), (50, 50), (21, 20), (30, 7)])
+def test_hot_anchors_at_other_lengths(spark, monkeypatch, length, gram):
+    monkeypatch.setattr(suffix_dedup, "HOT_CHUNKS", 1)
+    rng = np.random.default_rng(length + gram)
+    words = ["".join(rng.choice(list("abc"), 6)) for _ in range(9)]
+    rows = [(i, " ".join(words[int(w)] for w in rng.integers(0, 9, 40)) * 2) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert ordered(rows_of(suffix_dedup.without_repeats(docs, length, gram))) == plain_repeats(rows, length)
+
+
+def test_a_text_longer_than_a_chunk(spark):
+    rng = np.random.default_rng(5)
+    long = rng.integers(97, 123, 5 << 20).astype(np.uint8).tobytes().decode()
+    rows = [(3, long), (1, "head " + long[4_000_000:4_000_200] + " tail"), (9, long[:70])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.without_repeats(docs).collect()}
+    assert found == {3: (5 << 20, 200, 1), 1: (210, 0, 0), 9: (70, 70, 1)}
+
+
 def test_interval_expansion_finds_short_prefixes():
     rng = np.random.default_rng(3)
     for length in (1, 2, 5, 9):
