@@ -195,3 +195,20 @@ def test_scorer_equals_the_join_on_odd_texts(spark, lexicon):
         assert small == joined and small
     assert text.small_lexicon(lexicon.limit(0)) == []
     assert text.sentiment_scores(df, lexicon.limit(0)).collect() == []
+
+
+def documents_only(spark, tmp_path, texts):
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    return str(tmp_path)
+
+
+def test_sentiment_rules_score_every_word_of_the_texts(spark, tmp_path):
+    from tillworks.plans import catalog_reviews
+
+    # no word is one of the literal lexicon; lengths 5, 9 and 8 give -1.8, 1.8 and 0.9
+    texts = ["abcde", "abcdefghi", "en abcdefgh", "that abcde abcde", None, "of"]
+    folder = documents_only(spark, tmp_path, texts)
+    scores = {r.review_id: r.sentiment_score for r in catalog_reviews.sentiment_rules(spark, folder).collect()}
+    # "that" has four letters: 1.8, and uses after it weigh one and a half
+    assert scores == {0: squash(-1.8), 1: squash(1.8), 2: squash(0.9 * lookups.NEGATION_FACTOR), 3: squash(1.8 - 1.5 * 1.8 * 2)}

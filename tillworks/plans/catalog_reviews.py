@@ -24,6 +24,7 @@ from tillworks.sources.star_views import (
     review_events,
     review_heads,
     sales_lines,
+    text_words,
     topic_vectors,
     vectors,
 )
@@ -75,6 +76,10 @@ def build_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The tables dashboards and reports read: written once per session and folder.
+def whole_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    return stored_mart(spark, "text_words", d, text_words)
+
+
 def scored_reviews(spark: SparkSession, d: str) -> DataFrame:
     return stored_mart(spark, "scored_reviews", d, build_scored_reviews)
 
@@ -335,10 +340,10 @@ def sentiment_lexicon(spark: SparkSession, d: str) -> DataFrame:
     return text.with_sentiment(docs.select("review_id"), scores)
 
 
-@query("sentiment_rules", ("sentiment",), "SELECT * FROM sentiment")
+@query("sentiment_rules", ("whole_sentiment",), "SELECT * FROM whole_sentiment")
 def sentiment_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Scores by the rules, worked out where each text is read: no exchange at all."""
-    return text.rule_sentiment_scores(read_docs(spark, d), lexicon(spark), RULE_MODIFIERS, RULE_CONTRAST)
+    """Scores by the rules with a valence for every word of the texts."""
+    return text.rule_sentiment_scores(read_docs(spark, d), whole_lexicon(spark, d), RULE_MODIFIERS, RULE_CONTRAST)
 
 
 @query(

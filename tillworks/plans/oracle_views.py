@@ -164,6 +164,42 @@ FROM (SELECT w.review_id, CAST(sum(CAST(l.valence AS DECIMAL(12,6))) AS DOUBLE)
                JOIN rule_words USING (review_id)) f
          LEFT JOIN mods m1 ON m1.word = f.b1 LEFT JOIN mods m2 ON m2.word = f.b2 LEFT JOIN mods m3 ON m3.word = f.b3)))))) GROUP BY review_id)""",
     ),
+    "text_words": (
+        (),
+        f"""SELECT token, CAST(CAST(length(token) % 5 - 2 AS DECIMAL(4,1)) * CAST(0.9 AS DECIMAL(2,1)) AS DOUBLE) AS valence
+FROM (SELECT DISTINCT unnest(string_split(c, ' ')) AS token
+      FROM (SELECT {CLEAN.format('text')} AS c FROM documents) WHERE c <> '')
+WHERE token NOT IN ({', '.join(repr(w) for w, _, _ in RULE_MODIFIERS)})""",
+    ),
+    "listed_mods": ((), f"SELECT * FROM ({values([(w, b, int(n)) for w, b, n in RULE_MODIFIERS])}) m(word, boost, negates)"),
+    "whole_sentiment": (
+        ("rule_words", "text_words", "listed_mods"),
+        f"""SELECT review_id, round_even(total / sqrt(total * total + 15.0), 4) AS sentiment_score FROM (
+  SELECT review_id, CAST(sum(CASE WHEN silent THEN 0 ELSE CAST(v3 AS DECIMAL(20,10)) END * weight) AS DOUBLE) AS total FROM (
+    SELECT *, v3raw * CASE WHEN g3 THEN CAST(-0.74 AS DOUBLE) ELSE 1.0 END AS v3 FROM (
+     SELECT *, v2 + CASE WHEN v2 < 0 THEN -(s3 * CAST(0.9 AS DOUBLE)) ELSE s3 * CAST(0.9 AS DOUBLE) END AS v3raw FROM (
+      SELECT *, v2raw * CASE WHEN g2 THEN CAST(-0.74 AS DOUBLE) ELSE 1.0 END AS v2 FROM (
+       SELECT *, v1 + CASE WHEN v1 < 0 THEN -(s2 * CAST(0.95 AS DOUBLE)) ELSE s2 * CAST(0.95 AS DOUBLE) END AS v2raw FROM (
+        SELECT *, v1raw * CASE WHEN g1 THEN CAST(-0.74 AS DOUBLE) ELSE 1.0 END AS v1 FROM (
+         SELECT f.review_id, f.token, f.weight,
+           f.token IN ({', '.join(repr(w) for w, b, _ in RULE_MODIFIERS if b)}) OR (f.token = 'kind' AND coalesce(f.a1 = 'of', FALSE)) AS silent,
+           l.valence + CASE WHEN l.valence < 0 THEN -coalesce(m1.boost, 0.0) ELSE coalesce(m1.boost, 0.0) END AS v1raw,
+           coalesce(m2.boost, 0.0) AS s2, coalesce(m3.boost, 0.0) AS s3,
+           coalesce(m1.negates = 1, FALSE) OR coalesce(contains(f.b1, 'n''t'), FALSE) AS g1,
+           coalesce(m2.negates = 1, FALSE) OR coalesce(contains(f.b2, 'n''t'), FALSE) AS g2,
+           coalesce(m3.negates = 1, FALSE) OR coalesce(contains(f.b3, 'n''t'), FALSE) AS g3
+         FROM (SELECT review_id, token, sum(CASE WHEN turn = 0 OR pos = turn THEN 1.0 WHEN pos < turn THEN 0.5 ELSE 1.5 END) AS weight,
+                 unnest(min_by({{'b1': b1, 'b2': b2, 'b3': b3, 'a1': a1}}, pos))
+               FROM (SELECT review_id, pos, turn, ws[pos] AS token, CASE WHEN pos > 1 THEN ws[pos - 1] END AS b1,
+                       CASE WHEN pos > 2 THEN ws[pos - 2] END AS b2, CASE WHEN pos > 3 THEN ws[pos - 3] END AS b3,
+                       CASE WHEN pos < len(ws) THEN ws[pos + 1] END AS a1
+                     FROM (SELECT review_id, ws, coalesce(list_position(ws, '{RULE_CONTRAST}'), 0) AS turn, unnest(range(1, len(ws) + 1)) AS pos
+                           FROM rule_words))
+               GROUP BY review_id, token) f
+         JOIN text_words l USING (token)
+         LEFT JOIN listed_mods m1 ON m1.word = f.b1 LEFT JOIN listed_mods m2 ON m2.word = f.b2 LEFT JOIN listed_mods m3 ON m3.word = f.b3))))))
+  GROUP BY review_id)""",
+    ),
     "ranked_topics": (
         ("review_docs", "topic_vectors", "cleaned_docs"),
         """SELECT review_id, topic, score,
@@ -316,6 +352,6 @@ def with_views(names: tuple[str, ...], body: str) -> str:
     if not ordered:
         return body
     # Texts are cleaned and cut into words once, however often a query names them.
-    once = {"cleaned_docs", "rule_words", "sentiment", "plain_sentiment"}
+    once = {"cleaned_docs", "rule_words", "sentiment", "plain_sentiment", "whole_sentiment"}
     listed = ",\n".join(f"{name} AS {'MATERIALIZED ' * (name in once)}(\n{VIEWS[name][1]}\n)" for name in ordered)
     return f"WITH {listed}\n{body}"

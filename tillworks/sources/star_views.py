@@ -21,6 +21,7 @@ from tillworks.functions.scalars import (
     compact_key,
     month_start,
 )
+from tillworks.operators.text import exploded_words
 
 REVIEW_START = "1998-01-01"
 REVIEW_DAYS = 1096
@@ -207,3 +208,14 @@ RULE_CONTRAST = "that"
 def lexicon(spark: SparkSession) -> DataFrame:
     """A literal of a few dozen words with their valence; it does not grow with the texts."""
     return spark.createDataFrame(LEXICON, "token string, valence double")
+
+
+def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cleaned word of the texts but the modifiers, with valence (length mod 5 - 2) * 0.9.
+
+    It grows with the texts, so nothing may collect or broadcast it unchecked.
+    """
+    words = exploded_words(read_table(spark, sf_dir, "documents").select("text"), "text").distinct()
+    valence = (F.length("token") % 5 - 2).cast("decimal(4,1)") * F.lit("0.9").cast("decimal(2,1)")
+    plain = words.where(~F.col("token").isin([word for word, _, _ in RULE_MODIFIERS]))
+    return plain.select("token", valence.cast("double").alias("valence"))
