@@ -212,3 +212,25 @@ def test_sentiment_rules_score_every_word_of_the_texts(spark, tmp_path):
     scores = {r.review_id: r.sentiment_score for r in catalog_reviews.sentiment_rules(spark, folder).collect()}
     # "that" has four letters: 1.8, and uses after it weigh one and a half
     assert scores == {0: squash(-1.8), 1: squash(1.8), 2: squash(0.9 * lookups.NEGATION_FACTOR), 3: squash(1.8 - 1.5 * 1.8 * 2)}
+
+
+def test_recommendations_hear_every_word_of_the_texts(spark, sf_dir, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from tillworks.plans import catalog_reviews
+
+    for name in os.listdir(sf_dir):
+        if name != "documents.parquet":
+            os.symlink(f"{sf_dir}/{name}", tmp_path / name)
+    heads = catalog_reviews.review_heads(spark, sf_dir).select("review_id", "category")
+    sad = sorted(r.category for r in heads.select("category").distinct().collect())[:1]
+    # "abcde" counts -1.8, "abcdefghi" 1.8; neither is in the fixed lexicon, so all were neutral before
+    text_of = F.when(F.col("category").isin(sad), "abcde").otherwise("abcdefghi")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").drop("text").join(heads.select(F.col("review_id").alias("doc_id"), text_of.alias("text")), "doc_id")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalog_reviews.report_recommendations(spark, str(tmp_path)).collect()
+    keys = {k.lower() for k in sad}
+    assert {r.category in keys for r in rows} == {True, False}
+    assert all(("unhappy" in r.issue) == (r.category in keys) for r in rows)

@@ -43,9 +43,10 @@ REVIEW_WHERE = "year({m}) = 1998 AND month({m}) IN (1, 2, 3, 6) AND category IN
 # --- frames ---------------------------------------------------------------
 
 
-def figured(spark: SparkSession, d: str, threshold: float = TEST_TOPIC_THRESHOLD) -> DataFrame:
-    """Written reviews with topics and rule sentiment; no text passes through a join."""
-    figures = text.text_figures(read_docs(spark, d), lexicon(spark), modifiers=RULE_MODIFIERS, contrast=RULE_CONTRAST)
+def figured(spark: SparkSession, d: str, threshold: float = TEST_TOPIC_THRESHOLD, words: DataFrame | None = None) -> DataFrame:
+    """Written reviews with topics and rule sentiment; with the fixed words no text passes through a join."""
+    known = lexicon(spark) if words is None else words
+    figures = text.text_figures(read_docs(spark, d), known, modifiers=RULE_MODIFIERS, contrast=RULE_CONTRAST)
     return text.enriched_figures(review_heads(spark, d), vectors(spark, d), figures, topic_vectors(spark, d), "vec_id", threshold)
 
 
@@ -65,16 +66,29 @@ def build_topic_months(spark: SparkSession, d: str) -> DataFrame:
     return reviews.topic_month_mart(text.explode_topics(scored_reviews(spark, d)))
 
 
-def build_combined(spark: SparkSession, d: str) -> DataFrame:
+def combined_with(spark: SparkSession, d: str, months_of_reviews: DataFrame) -> DataFrame:
     months = marts.category_months(sales_lines(spark, d, "category", "order_date", "sales"))
     sales = reviews.sales_by_month_and_key(months)
-    return reviews.with_review_impact(reviews.combine_sales_and_reviews(sales, review_months(spark, d)))
+    return reviews.with_review_impact(reviews.combine_sales_and_reviews(sales, months_of_reviews))
+
+
+def build_combined(spark: SparkSession, d: str) -> DataFrame:
+    return combined_with(spark, d, review_months(spark, d))
+
+
+def build_whole_combined(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a valence for every word of the texts."""
+    return combined_with(spark, d, reviews.category_month_mart(figured(spark, d, words=whole_lexicon(spark, d))))
 
 
 def build_segments(spark: SparkSession, d: str) -> DataFrame:
     return segments.segment_mart(combined(spark, d))
 
 
+def build_whole_segments(spark: SparkSession, d: str) -> DataFrame:
+    return segments.segment_mart(stored_mart(spark, "whole_combined", d, build_whole_combined))
+
+
 # The tables dashboards and reports read: written once per session and folder.
 def whole_lexicon(spark: SparkSession, d: str) -> DataFrame:
     return stored_mart(spark, "text_words", d, text_words)
@@ -100,6 +114,10 @@ def segment_rows(spark: SparkSession, d: str) -> DataFrame:
     return stored_mart(spark, "segments", d, build_segments)
 
 
+def whole_segment_rows(spark: SparkSession, d: str) -> DataFrame:
+    return stored_mart(spark, "whole_segments", d, build_whole_segments)
+
+
 def summary_of_both(spark: SparkSession, d: str) -> DataFrame:
     return marts.sales_review_summary(
         sales_lines(spark, d, "category", "sales", "order_id"), review_events(spark, d)
@@ -707,15 +725,15 @@ def report_recent_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "report_recommendations",
-    ("advice",),
+    ("whole_advice",),
     f"""SELECT coalesce(k.priority, 'Medium') AS priority, a.category, coalesce(k.issue, 'Needs a closer look') AS issue,
   a.recommendation AS recommended_action, coalesce(k.benefit, 'Improves the business') AS expected_benefit,
   CAST(row_number() OVER (ORDER BY coalesce(k.place, 2), a.category) AS INTEGER) AS place
-FROM advice a LEFT JOIN ({ACTIONS}) k(name, priority, place, issue, benefit) ON k.name = a.segment
-WHERE a.sales_month = (SELECT max(sales_month) FROM advice WHERE year = {Y})""",
+FROM whole_advice a LEFT JOIN ({ACTIONS}) k(name, priority, place, issue, benefit) ON k.name = a.segment
+WHERE a.sales_month = (SELECT max(sales_month) FROM whole_advice WHERE year = {Y})""",
 )
 def report_recommendations(spark: SparkSession, d: str) -> DataFrame:
-    return report.recommendations(segment_rows(spark, d), Y)
+    return report.recommendations(whole_segment_rows(spark, d), Y)
 
 
 def _forecast_sql(measure: str, current: str, table: str, column: str, places: int) -> str:

@@ -5,6 +5,8 @@ Written separately from the DataFrame code: full joins, no shortcuts.
 
 from __future__ import annotations
 
+import re
+
 from tillworks.functions import lookups
 from tillworks.functions.scalars import URL
 from tillworks.sources.star_views import LEXICON, RULE_CONTRAST, RULE_MODIFIERS
@@ -337,6 +339,16 @@ WHERE year(sales_month) = (SELECT max(y) FROM (SELECT max(year(sales_month)) AS
 }
 
 
+# The way from sentiment to advice once more, with a valence for every word of the texts.
+_WHOLE = ("sentiment", "enriched", "review_months", "combined", "segments", "advice")
+for _name in _WHOLE[1:]:
+    _needs, _body = VIEWS[_name]
+    VIEWS[f"whole_{_name}"] = (
+        tuple(f"whole_{n}" if n in _WHOLE else n for n in _needs),
+        re.sub(rf"\b(FROM|JOIN) ({'|'.join(_WHOLE)})\b", r"\1 whole_\2", _body),
+    )
+
+
 def with_views(names: tuple[str, ...], body: str) -> str:
     """Prefix a query with the views it reads, dependencies first."""
     ordered: list[str] = []
