@@ -32,6 +32,8 @@ WINDOW = 2
 MIN_SCORE = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 2 << 20
+# Bytes of text of one vectorised step.
+STEP = 1 << 19
 CELLS = 2_000_000
 SCHEMA = "doc_id long, item_id long, score double, begin_byte long, end_byte long, item_words int"
 
@@ -101,7 +103,7 @@ def _word_hashes(column: pa.Array):
 
 def _counted(batches: Iterator[pa.RecordBatch], distinct: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(len(distinct), np.int64)
-    for batch in steps(batches, "text"):
+    for batch in steps(batches, "text", STEP):
         _, _, rows, hashes, _ = _word_hashes(batch.column(batch.schema.get_field_index("text")))
         keys, _ = grams(hashes, rows, n)
         at = np.minimum(np.searchsorted(distinct, keys), len(distinct) - 1)
@@ -235,7 +237,7 @@ def _matches(column: pa.Array, seeds: Items, n: int, min_score: float):
 
 
 def _match_batches(batches: Iterator[pa.RecordBatch], seeds: Items, n: int, min_score: float) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches, "text"):
+    for batch in steps(batches, "text", STEP):
         row, item, score, begin, end = _matches(batch.column(1), seeds, n, min_score)
         words = (seeds.bounds[1:] - seeds.bounds[:-1])[item].astype(np.int32)
         columns = [batch.column(0).take(pa.array(row)), pa.array(seeds.ids[item]), pa.array(score), pa.array(begin), pa.array(end), pa.array(words)]
@@ -243,7 +245,7 @@ def _match_batches(batches: Iterator[pa.RecordBatch], seeds: Items, n: int, min_
 
 
 def _clean_batches(batches: Iterator[pa.RecordBatch], seeds: Items, n: int, min_score: float) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches, "text"):
+    for batch in steps(batches, "text", STEP):
         row, *_ = _matches(batch.column(batch.schema.get_field_index("text")), seeds, n, min_score)
         keep = np.ones(batch.num_rows, bool)
         keep[row] = False
