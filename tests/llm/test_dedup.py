@@ -227,3 +227,32 @@ def test_empty_tables(nothing):
     assert exact_dedup.keep_first(nothing).count() == 0
     assert simhash.near_components(nothing).count() == 0
     assert suffix_dedup.without_repeats(nothing).count() == 0
+
+
+def test_pieces_of_one_key_are_sorted_in_bounded_batches(monkeypatch):
+    rng = np.random.default_rng(5)
+    length, gram, common = 50, 20, rng.integers(97, 123, 20, np.uint8)
+    key = np.uint64(7)
+
+    def pieces(n):
+        """Windows around one passage; few bytes differ, so some windows are equal and some are not."""
+        size = rng.integers(length, 2 * length - gram + 1, n)
+        text = [np.concatenate((rng.integers(97, 99, 30, np.uint8), common, rng.integers(97, 99, 30, np.uint8)))[30 - min(30, k - length) :][:k] for k in size.tolist()]
+        return np.full(n, key), rng.integers(0, 10**6, n), size, np.concatenate(text)
+
+    parts = [pieces(n) for n in (900, 1, 700)]
+    plain = {}
+    for _, least, size, text in parts:
+        for one, a, n in zip(least.tolist(), (np.cumsum(size) - size).tolist(), size.tolist()):
+            for w in range(a, a + n - length + 1):
+                s = text[w : w + length].tobytes()
+                plain[s] = min(one, plain.get(s, one))
+    seen = []
+    plain_owner = suffix_dedup.least_owner
+    monkeypatch.setattr(suffix_dedup, "least_owner", lambda text, *rest: (seen.append(len(text)), plain_owner(text, *rest))[1])
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 4096)
+    found = suffix_dedup._owners(parts, length, gram)
+    for (_, _, size, text), owners in zip(parts, found):
+        windows = [text[w : w + length].tobytes() for a, n in zip((np.cumsum(size) - size).tolist(), size.tolist()) for w in range(a, a + n - length + 1)]
+        assert owners.tolist() == [plain[s] for s in windows]
+    assert max(seen) <= 2 * 4096  # before, all pieces of the key: over 100,000 bytes
