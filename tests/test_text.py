@@ -234,3 +234,26 @@ def test_recommendations_hear_every_word_of_the_texts(spark, sf_dir, tmp_path):
     keys = {k.lower() for k in sad}
     assert {r.category in keys for r in rows} == {True, False}
     assert all(("unhappy" in r.issue) == (r.category in keys) for r in rows)
+
+
+def test_a_large_lexicon_is_asked_for_the_words_of_chunks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    words = ["ab", "abc", "that", "de", "en", "kind", "of", "'quoted'", "isn't", "x", "good", "bad", "dull", "http://ab.c", "ÄÖ"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(300)] + [None, "", "en", "dull", "dull en", "dull bad"]
+    reviews = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "review_id long, review_text string").repartition(3)
+    # "good" is listed twice, "dull" has no valence, "de" is a modifier with a valence of its own
+    known = [("ab", 1.9), ("abc", -2.3), ("good", 1.8), ("good", 0.9), ("bad", -1.8), ("de", 0.9), ("kind", 0.9), ("quoted", -0.9), ("dull", None), ("that", 1.8), (None, 1.0)]
+    lexicon = spark.createDataFrame(known, "token string, valence double")
+    mods, how = [("de", 0.293, False), ("of", 0.293, False), ("en", 0.0, True)], ("that", "review_id", "review_text")
+    joined = sorted(text._scores_by_join(reviews, lexicon, mods, *how).collect())
+    monkeypatch.setattr(text, "CHUNK_BYTES", 500)
+    scores = text.rule_sentiment_scores(reviews, lexicon, mods, "that", check_size=False)
+    assert sorted(scores.collect()) == joined and len(joined) > 250 and any(r.sentiment_score is None for r in joined)
+    # before, every word of every text passed through two exchanges with its neighbours
+    assert "Generate" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    # texts that share an id, a null one too, are one text
+    again = reviews.union(reviews.where("review_id % 3 = 0")).union(reviews.where("review_id < 9").selectExpr("NULL", "review_text"))
+    both = [sorted(s.collect(), key=str) for s in (text._scores_by_join(again, lexicon, mods, *how), text.rule_sentiment_scores(again, lexicon, mods, "that", check_size=False))]
+    assert both[0] == both[1] and both[0] != joined

@@ -1,20 +1,21 @@
 """Review text: sentiment from a lexicon, topics from vectors.
 
 Texts are processed whole. A lexicon within a checked bound travels to the tasks and is looked
-up there, in one pass over the words of an Arrow batch; a larger one meets exploded words in a
-join. Topics compare vectors inside the row, without any shuffle.
+up there, in one pass over the words of an Arrow batch; a larger one is asked for the distinct words of
+chunks of texts (rules), or meets counted words in a join. Topics compare vectors inside the row, without any shuffle.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,7 @@ from tillworks.functions.scalars import (
     tokens_of,
     without_urls,
 )
+from tillworks.session import staged
 
 # Tasks get this module's functions with the task; executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -76,16 +78,30 @@ def small_lexicon(lexicon: DataFrame) -> list[tuple[str, float]] | None:
     return [(r["token"], r["valence"]) for r in known.collect()]
 
 
+def coded_words(clean: pa.Array, rules: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and code of every word of cleaned texts, and the words the codes stand for; with ``rules`` those of ``rule_tokens``."""
+    lists = pc.split_pattern(clean.cast(pa.string()), " ")
+    coded = lists.flatten().dictionary_encode()
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+    rows, codes, words = np.repeat(np.arange(len(clean)), sizes), np.asarray(coded.indices), coded.dictionary
+    if rules:  # one outer apostrophe is removed, single characters are not words
+        long = np.asarray(pc.greater(pc.utf8_length(words), 1).to_numpy(zero_copy_only=False), bool)
+        words = pc.replace_substring_regex(words, "^'([a-z0-9]{2,})$|^([a-z0-9]{2,})'$", "\\1\\2")
+        rows, codes = rows[long[codes]], codes[long[codes]]
+    return rows, codes, words
+
+
 class Scorer:
     """Sums of points of cleaned texts, a batch at a time.
 
     Each distinct word of a batch is looked up once; words and their neighbours are then
     numbers in one array. With ``rules`` a word counts as ``rule_sentiment_scores`` says.
+    ``known`` are all words that have a valence, where ``lexicon`` holds only some of them.
     """
 
-    def __init__(self, lexicon: list[tuple[str, float]], rules: bool, modifiers: list[tuple[str, float, bool]], contrast: str):
+    def __init__(self, lexicon: list[tuple[str, float]], rules: bool, modifiers: list[tuple[str, float, bool]], contrast: str, known: set[str] | None = None):
         self.words, self.valence, self.rules, self.contrast = [w for w, _ in lexicon], np.array([v for _, v in lexicon], float), rules, contrast
-        known = set(self.words)
+        known = set(self.words) if known is None else known
         active = [m for m in modifiers if m[0] not in known]  # a modifier with a valence is an ordinary word
         self.modifiers = [w for w, _, _ in active]
         self.boost = np.array([b for _, b, _ in active] + [0.0])
@@ -95,30 +111,27 @@ class Scorer:
 
     def totals(self, clean: pa.Array) -> pa.Array:
         """The sum of each text, null where no word has a valence."""
-        lists = pc.split_pattern(clean.cast(pa.string()), " ")
-        coded = lists.flatten().dictionary_encode()
-        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
-        rows, codes, words = np.repeat(np.arange(len(clean)), sizes), np.asarray(coded.indices), coded.dictionary
-        if self.rules:  # one outer apostrophe is removed, single characters are not words
-            long = np.asarray(pc.greater(pc.utf8_length(words), 1).to_numpy(zero_copy_only=False), bool)
-            words = pc.replace_substring_regex(words, "^'([a-z0-9]{2,})$|^([a-z0-9]{2,})'$", "\\1\\2")
-            rows, codes = rows[long[codes]], codes[long[codes]]
+        sums, found, scale = self.sums(clean)
+        return pa.array(sums / scale, mask=~found)
+
+    def sums(self, clean: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+        """The sum of each text as a whole number, whether it has a word with a valence, and the scale of the sums."""
+        rows, codes, words = coded_words(clean, self.rules)
+        scale = RULE_SCALE * 10 if self.rules else PLAIN_SCALE
         place = np.asarray(pc.fill_null(pc.index_in(words, value_set=pa.array(self.words, pa.string())), -1))
         at = np.flatnonzero(place[codes] >= 0) if len(codes) else np.empty(0, np.int64)
-        sums = np.zeros(len(clean), np.int64)
+        sums, found = np.zeros(len(clean), np.int64), np.zeros(len(clean), bool)
         if not len(at):
-            return pa.nulls(len(clean), pa.float64())
+            return sums, found, scale
         hits, row = place[codes[at]], rows[at]
         if self.rules:
             points, row = self._ruled(words, codes, rows, at, hits)
-            scale = RULE_SCALE * 10
         else:
-            points, scale = np.rint(self.valence[hits] * PLAIN_SCALE).astype(np.int64), PLAIN_SCALE
+            points = np.rint(self.valence[hits] * PLAIN_SCALE).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
         sums[row[first]] = np.add.reduceat(points, first)
-        found = np.zeros(len(clean), bool)
         found[row] = True
-        return pa.array(sums / scale, mask=~found)
+        return sums, found, scale
 
     def _ruled(self, words: pa.Array, codes: np.ndarray, rows: np.ndarray, at: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Points of each text's distinct words, ordered by text, and the texts."""
@@ -457,12 +470,105 @@ def rule_sentiment_scores(
     it, unless they carry a valence themselves. Uses before the first contrast
     word weigh half, uses after it one and a half.
 
-    A lexicon proven small is looked up where a text was read; a larger one meets the
-    words with their neighbours in a join.
+    A lexicon proven small is looked up where a text was read. For a larger one texts are
+    gathered in chunks, which ask for the valences of their distinct words. Texts that
+    share an id are one text with several beginnings; their words meet the lexicon in a join.
     """
     small = small_lexicon(lexicon) if check_size else None
     if small is not None:
         return _scores_in_row(reviews, id_col, text_col, small, True, modifiers, contrast)
+    texts = reviews.select(id_col, text_col)
+    several = staged(texts.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(id_col).alias("_id")), "repeated-ids")
+    if several.isEmpty():
+        return _scores_of_chunks(texts, lexicon, modifiers, contrast, id_col, text_col)
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    single = _scores_of_chunks(texts.join(several, same, "left_anti"), lexicon, modifiers, contrast, id_col, text_col)
+    return single.unionByName(_scores_by_join(texts.join(several, same, "left_semi"), lexicon, modifiers, contrast, id_col, text_col))
+
+
+# Bytes of cleaned text that ask for their distinct words together, and that one step scores; a longer text is a chunk of its own.
+CHUNK_BYTES = 4 << 20
+
+
+def _asking(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``chunk, token, texts``: the distinct words of every chunk, and one row with its packed texts."""
+    task = TaskContext.get()
+    number = (task.partitionId() if task else 0) << 32
+    held, size = [], 0
+
+    def rows() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        _, codes, words = coded_words(table.column(1).combine_chunks(), True)
+        tokens = pc.unique(words.take(pa.array(np.unique(codes)))) if len(codes) else pa.array([], pa.string())
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        packed = pa.array([None] * len(tokens) + [sink.getvalue().to_pybytes()], pa.binary())
+        tokens = pa.concat_arrays([tokens.cast(pa.string()), pa.nulls(1, pa.string())])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), number)), tokens, packed], ["chunk", "token", "texts"])
+
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, base + limit - size, "right")))
+            held.append(batch.slice(at, stop - at))
+            size += int(ends[stop - 1] - base)
+            at = stop
+            if size >= limit or at < batch.num_rows:
+                yield rows()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield rows()
+
+
+def _scored(texts: pa.Table, replies: pa.Table, modifiers: list[tuple[str, float, bool]], contrast: str) -> pa.Table:
+    """Id and sum of the texts of a chunk with a word that has a valence; null where all valences are."""
+    found = pa.ipc.open_stream(texts.column("texts")[0].as_py()).read_all().combine_chunks()
+    ids, clean = found.column(0).combine_chunks(), found.column(1).combine_chunks()
+    tokens, valences = replies.column("token").to_pylist(), replies.column("valence").to_pylist()
+    # a word that the lexicon holds several times counts several times
+    layers, times = [], {}
+    for token, valence in zip(tokens, valences):
+        times[token] = times.get(token, -1) + 1
+        if times[token] == len(layers):
+            layers.append([])
+        layers[times[token]].append((token, valence))
+    silent = {w for w, boost, _ in modifiers if boost}
+    sums, counted, hit, scale = np.zeros(len(clean), np.int64), np.zeros(len(clean), bool), np.zeros(len(clean), bool), RULE_SCALE * 10
+    for layer in layers:
+        valued = [(w, v) for w, v in layer if v is not None or w in silent]
+        more, some, scale = Scorer([(w, v or 0.0) for w, v in valued], True, modifiers, contrast, set(times)).sums(clean)
+        sums, counted = sums + more, counted | some
+        if len(valued) < len(layer):
+            hit |= Scorer([(w, 0.0) for w, _ in layer], True, modifiers, contrast, set(times)).sums(clean)[1]
+    hit |= counted
+    totals = pa.array(sums / scale, mask=~counted)
+    return pa.Table.from_arrays([ids.filter(pa.array(hit)), totals.filter(pa.array(hit))], ["id", "total"])
+
+
+def _scores_of_chunks(texts: DataFrame, lexicon: DataFrame, modifiers: list[tuple[str, float, bool]] | None, contrast: str, id_col: str, text_col: str) -> DataFrame:
+    """Scores of texts with an id of their own; what moves is each chunk's distinct words, and its texts once, packed."""
+    listed = modifiers if modifiers is not None else modifier_rows()
+    cleaned = texts.select(id_col, clean_text(text_col).alias("_clean"))
+    asking = cleaned.mapInArrow(partial(_asking, limit=CHUNK_BYTES), "chunk long, token string, texts binary")
+    asking = staged(asking, "asking-chunks")
+    replies = asking.where("token IS NOT NULL").select(F.col("chunk").alias("of"), "token").join(lexicon.select("token", F.col("valence").cast("double").alias("valence")), "token")
+    whole = asking.where("texts IS NOT NULL").select("chunk", "texts")
+
+    def score(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        return _scored(chunk, found, listed, contrast)
+
+    kind = T.StructType([T.StructField("id", texts.schema[id_col].dataType), T.StructField("total", T.DoubleType())])
+    totals = whole.groupBy("chunk").cogroup(replies.groupBy("of")).applyInArrow(score, kind)
+    return totals.select(F.col("id").alias(id_col), compound("total").alias("sentiment_score"))
+
+
+def _scores_by_join(
+    reviews: DataFrame, lexicon: DataFrame, modifiers: list[tuple[str, float, bool]] | None, contrast: str, id_col: str, text_col: str
+) -> DataFrame:
+    """Scores where the texts of one id count as one: each word with its neighbours meets the lexicon."""
     spark = reviews.sparkSession
     listed = spark.createDataFrame(
         modifiers if modifiers is not None else modifier_rows(),
