@@ -257,3 +257,12 @@ def test_a_large_lexicon_is_asked_for_the_words_of_chunks(spark, monkeypatch):
     again = reviews.union(reviews.where("review_id % 3 = 0")).union(reviews.where("review_id < 9").selectExpr("NULL", "review_text"))
     both = [sorted(s.collect(), key=str) for s in (text._scores_by_join(again, lexicon, mods, *how), text.rule_sentiment_scores(again, lexicon, mods, "that", check_size=False))]
     assert both[0] == both[1] and both[0] != joined
+
+
+def test_figures_by_a_large_lexicon_move_no_row_per_word(spark):
+    reviews = spark.createDataFrame([(1, "en abcdefgh", 1), (2, "abcde", 1)], "review_id long, review_text string, n int")
+    lexicon = spark.createDataFrame([("abcdefgh", 0.9), ("abcde", -1.8)], "token string, valence double")
+    figures = text.text_figures(reviews, lexicon, modifiers=[("en", 0.0, True)], contrast="that", check_size=False)
+    assert {r.review_id: r.sentiment_score for r in figures.collect()} == {1: squash(0.9 * lookups.NEGATION_FACTOR), 2: squash(-1.8)}
+    # what report_recommendations reads; before, words were exploded for a join
+    assert "Generate" not in figures._jdf.queryExecution().optimizedPlan().toString()
