@@ -363,3 +363,45 @@ def test_missing_headers_of_every_upload(spark, tmp_path):
     write(tmp_path / "short.csv", heads[2:], [["1"] * (len(heads) - 2)])
     found = files.missing_headers(spark, str(tmp_path), "sales").collect()
     assert {(r.file.rsplit("/", 1)[1], r.missing) for r in found} == {("short.csv", heads[0]), ("short.csv", heads[1])}
+
+
+def test_only_orders_that_come_twice_are_compared_row_by_row(spark, tmp_path, monkeypatch):
+    shared, root = tmp_path / "shared", str(tmp_path / "store")
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(shared))
+    rows = [(f"o{i}", "b1", 1, i) for i in range(50)] + [("o7", "b1", 2, 70), ("o8", "b2", 3, 80), (None, "b1", 1, 5), (None, "b1", 1, 5)]
+    warehouse.store_sales(spark, root, order_rows_of(spark, rows), ["b1", "b2"])
+    # before, all rows were written once more, and all order ids
+    settled = spark.read.parquet(*[str(p) for p in shared.glob("settled-sales-*")])
+    assert {(r.order_id, r.batch_id) for r in settled.collect()} == {("o7", "b1"), ("o8", "b1"), ("o8", "b2")}
+    assert not list(shared.glob("order-ids-*"))
+    days = warehouse.merged_sales(spark, root, ["b1", "b2"])["day_category"].collect()
+    # o7 counts 70 and o8 80, the last ones; rows without an id all count
+    assert float(sum(r.sales for r in days)) == sum(range(50)) - 7 + 70 - 8 + 80 + 10 and sum(r["lines"] for r in days) == 52
+
+
+def order_rows_of(spark, rows):
+    frame = spark.createDataFrame([(o, b, at, float(s)) for o, b, at, s in rows], "order_id string, batch_id string, loaded_at int, amount double")
+    return frame.select(
+        "order_id", "batch_id", "loaded_at", F.col("amount").cast("decimal(18,2)").alias("sales"), F.lit(1).cast("decimal(18,2)").alias("profit"),
+        *[F.lit(c).alias(c) for c in ("customer_id", "customer_name", "city", "category", "subcategory", "product_id")], F.lit("2020-01-05").cast("date").alias("order_date"),
+    )
+
+
+def test_rows_in_parts_replace_their_batches(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    frame = lambda rows: spark.createDataFrame(rows, "x int, batch_id string")
+    assert tables.append_parts(spark, [frame([(1, "a"), (2, "b 1/2")]), frame([]), frame([(3, "c")])], path) == ["a", "b 1/2", "c"]
+    # "b 1/2" is only in the second frame
+    assert tables.append_parts(spark, [frame([(4, "a")]), frame([(5, "a"), (6, "b 1/2")])], path) == ["a", "b 1/2"]
+    assert sorted((r.x, r.batch_id) for r in spark.read.parquet(path).collect()) == [(3, "c"), (4, "a"), (5, "a"), (6, "b 1/2")]
+    assert tables.append_parts(spark, [frame([])], path) == []
+
+
+def test_the_lines_of_a_store_are_joined_in_parts(spark, sf_dir, monkeypatch):
+    from tillworks.plans import catalog_store
+
+    (whole,) = catalog_store.sales_parts(spark, sf_dir)
+    monkeypatch.setattr(catalog_store, "PART_BYTES", 40_000)
+    parts = [part.collect() for part in catalog_store.sales_parts(spark, sf_dir)]
+    assert len(parts) > 2 and all(len(part) < 4_000 for part in parts)
+    assert sorted(row for part in parts for row in part) == sorted(whole.collect())

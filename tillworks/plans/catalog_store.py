@@ -16,7 +16,7 @@ from tillworks.operators import marts
 from tillworks.plans import warehouse
 from tillworks.plans.oracle_views import buckets
 from tillworks.plans.registry import query
-from tillworks.session import fresh_path
+from tillworks.session import fresh_path, stored_bytes
 from tillworks.sources import tables
 from tillworks.sources.star_views import review_events, sales_lines
 from tillworks.sources.versions import Rebuild, Snapshot
@@ -24,19 +24,32 @@ from tillworks.sources.versions import Rebuild, Snapshot
 CORRECTION = "sales-correction"
 
 
-def sales_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Every line as an order of its own, in the batch of its year; the lines of March 1997 once more with
-    doubled sales and no profit, in a batch that arrives last."""
+# Bytes of lineitem files whose lines are joined at a time; what is shuffled for them is about five times as much.
+PART_BYTES = 256 << 20
+
+
+def sales_parts(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Every line as an order of its own, in the batch of its year; as many frames as the lines need, split by order."""
+    parts = 1 + stored_bytes(spark, f"{d}/lineitem.parquet") // PART_BYTES
     lines = sales_lines(
         spark, d, "order_id", "line_number", "l_partkey", "l_suppkey", "l_extendedprice", "customer_key", "customer_name", "city", "category", "subcategory", "product_id", "order_date", "sales", "profit"
     )
-    rows = lines.select(
-        F.concat_ws("-", "order_id", *[F.col(c).cast("string") for c in ("line_number", "l_partkey", "l_suppkey", "l_extendedprice")]).alias("order_id"),
-        F.col("customer_key").alias("customer_id"), "customer_name", "city", "category", "subcategory", "product_id", "order_date", "sales", "profit",
-        F.concat(F.lit("sales-"), F.year("order_date")).alias("batch_id"),
-        F.year("order_date").alias(warehouse.ARRIVAL),
-    )
-    fixed = rows.where("order_date >= DATE '1997-03-01' AND order_date < DATE '1997-04-01'").withColumns(
+
+    def rows(part: int) -> DataFrame:
+        some = lines.where(F.pmod(F.xxhash64("order_id"), F.lit(parts)) == part) if parts > 1 else lines
+        return some.select(
+            F.concat_ws("-", "order_id", *[F.col(c).cast("string") for c in ("line_number", "l_partkey", "l_suppkey", "l_extendedprice")]).alias("order_id"),
+            F.col("customer_key").alias("customer_id"), "customer_name", "city", "category", "subcategory", "product_id", "order_date", "sales", "profit",
+            F.concat(F.lit("sales-"), F.year("order_date")).alias("batch_id"),
+            F.year("order_date").alias(warehouse.ARRIVAL),
+        ).where("batch_id IS NOT NULL")
+
+    return [rows(part) for part in range(parts)]
+
+
+def corrected(rows: DataFrame) -> DataFrame:
+    """The lines of March 1997 once more with doubled sales and no profit, in a batch that arrives last."""
+    return rows.where("order_date >= DATE '1997-03-01' AND order_date < DATE '1997-04-01'").withColumns(
         {
             "sales": (F.col("sales") * 2).cast(rows.schema["sales"].dataType),
             "profit": F.lit(0).cast(rows.schema["profit"].dataType),
@@ -44,7 +57,6 @@ def sales_batches(spark: SparkSession, d: str) -> DataFrame:
             warehouse.ARRIVAL: F.lit(9999),
         }
     )
-    return rows.unionByName(fixed)
 
 
 def review_batches(spark: SparkSession, d: str) -> DataFrame:
@@ -58,16 +70,26 @@ def _note(spark: SparkSession, root: str, kind: str, batches: list[str], status:
     events.write.mode("append").parquet(f"{root}/ledger")
 
 
-def _load(spark: SparkSession, root: str, kind: str, rows: DataFrame) -> list[str]:
-    """Store rows of several batches as the clean step would, with their ledger lines."""
-    batches = sorted(r["batch_id"] for r in rows.select("batch_id").distinct().collect())  # one name per upload
+def _names(rows: DataFrame) -> list[str]:
+    return sorted(r["batch_id"] for r in rows.select("batch_id").distinct().collect())  # one name per upload
+
+
+def _load_sales(spark: SparkSession, root: str, parts: list[DataFrame]) -> DataFrame | None:
+    """Store sales of batches that the store does not hold yet as the clean step would, with their ledger lines; returns them."""
+    path = f"{root}/{warehouse.CLEAN['sales']}"
+    batches = tables.append_parts(spark, parts, path)
+    if not batches:
+        return None
+    warehouse.derive_sales(spark, root, batches)
+    _note(spark, root, "sales", batches, "clean_loaded", 2)
+    return spark.read.parquet(path).where(F.col("batch_id").isin(batches))
+
+
+def _load_reviews(spark: SparkSession, root: str, rows: DataFrame) -> None:
+    batches = _names(rows)
     if batches:
-        if kind == "sales":
-            warehouse.store_sales(spark, root, rows, batches)
-        else:
-            warehouse.store_reviews(spark, root, rows, batches, match=lambda r: r)
-        _note(spark, root, kind, batches, "clean_loaded", 2)
-    return batches
+        warehouse.store_reviews(spark, root, rows, batches, match=lambda r: r)
+        _note(spark, root, "reviews", batches, "clean_loaded", 2)
 
 
 _STORES: dict[tuple, str] = {}
@@ -78,10 +100,10 @@ def filled_store(spark: SparkSession, d: str) -> str:
     key = (spark.sparkContext.applicationId, d)
     if key not in _STORES:
         root = fresh_path(spark, "store")
-        sales = sales_batches(spark, d)
-        _load(spark, root, "sales", sales.where(F.col("batch_id") != CORRECTION))
-        _load(spark, root, "sales", sales.where(F.col("batch_id") == CORRECTION))
-        _load(spark, root, "reviews", review_batches(spark, d))
+        sales = _load_sales(spark, root, sales_parts(spark, d))
+        if sales is not None:
+            _load_sales(spark, root, [corrected(sales)])
+        _load_reviews(spark, root, review_batches(spark, d))
         _STORES[key] = root
     return _STORES[key]
 

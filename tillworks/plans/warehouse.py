@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tillworks.functions.scalars import category_key
 from tillworks.operators import cleaning, dimensions, forecast, marts, partials, ratings, reviews, segments, text
-from tillworks.session import fresh_path
+from tillworks.session import released_shuffles, staged
 from tillworks.sources import files, tables
 from tillworks.sources.versions import Rebuild, Snapshot, rebuild
 
@@ -110,7 +110,9 @@ def _derived(spark: SparkSession, root: str, name: str, loads: list[str], like:
 
 
 def _write(df: DataFrame, root: str, name: str, load: str) -> None:
-    df.withColumn("load", F.lit(load)).write.mode("append").partitionBy("load", "batch_id").parquet(_path(root, name))
+    rows = df.withColumn("load", F.lit(load)).write.mode("append").option("compression", tables.COMPRESSION)
+    with released_shuffles(df.sparkSession):
+        rows.partitionBy("load", "batch_id").parquet(_path(root, name))
 
 
 def _finish_load(spark: SparkSession, root: str, load: str, batches: list[str]) -> None:
@@ -122,41 +124,52 @@ def _partial_schemas(spark: SparkSession, root: str) -> dict[str, T.StructType]:
     return {name: frame.schema for name, frame in partials.sales_partials(spark.read.parquet(_path(root, "sales"))).items()}
 
 
-def _staged(df: DataFrame, name: str) -> DataFrame:
-    """Rows that several writes need, worked out once."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def store_sales(spark: SparkSession, root: str, clean: DataFrame, batches: list[str]) -> None:
+    """Store clean sales of new batches with their partial aggregates."""
+    tables.append_rows(clean, _path(root, "sales"))
+    derive_sales(spark, root, batches)
 
 
-def store_sales(spark: SparkSession, root: str, clean: DataFrame, batches: list[str]) -> None:
-    """Store clean sales of new batches with their partial aggregates.
+def derive_sales(spark: SparkSession, root: str, batches: list[str]) -> None:
+    """Partial aggregates of batches whose clean sales have just been stored.
 
     Orders that an earlier batch holds too become contested: the partials of both are worked
     out without them, and their rows are kept apart. That reads the narrow order ids of all
     batches once per load, and the rows of the batches that share orders; a rollback reads neither.
+    Only rows of contested orders and of orders that come twice in a batch are compared with each other;
+    all others are summed where they are read.
     """
     load = uuid.uuid4().hex
-    tables.append_rows(clean, _path(root, "sales"))
-    new = _of(spark, root, "sales", batches).where("order_id IS NOT NULL").select("order_id", "batch_id").distinct()
-    new = _staged(new, "order-ids")
+    named = _of(spark, root, "sales", batches).where("order_id IS NOT NULL")
+    _write(named.groupBy("order_id", "batch_id").agg(F.count(F.lit(1)).alias("n")), root, "order_ids", load)
+    counted = T.StructType.fromDDL("order_id string, batch_id string, n long")
+    counts = _derived(spark, root, "order_ids", [f"{load}/{b}" for b in batches], counted)
+    new = counts.drop("n")
     others = [one for one in _loads(spark, root) if one.split("/", 1)[1] not in batches]
     known = _derived(spark, root, "order_ids", others, new.schema)
     among = new.groupBy("order_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("order_id")
-    met = _staged(known.join(new.select("order_id").distinct(), "order_id", "left_semi"), "orders-met")
+    among = staged(among, "orders-among") if len(batches) > 1 else new.limit(0).select("order_id")
+    met = staged(known.join(new, "order_id", "left_semi"), "orders-met") if others else new.limit(0)
     # One name per uploaded batch that shares an order.
     touched = sorted(r["batch_id"] for r in met.select("batch_id").distinct().collect())
     affected = sorted({*touched, *batches})
     before = _loads(spark, root, touched)
     shared = among.union(met.select("order_id")).distinct()
     contested = _derived(spark, root, "contested_ids", before, new.schema).unionByName(met)
-    contested = _staged(contested.unionByName(new.join(shared, "order_id", "left_semi")).distinct(), "contested-ids")
+    contested = staged(contested.unionByName(new.join(staged(shared, "orders-shared"), "order_id", "left_semi")).distinct(), "contested-ids")
     _write(contested, root, "contested_ids", load)
-    _write(new.unionByName(_derived(spark, root, "order_ids", before, new.schema)), root, "order_ids", load)
-    rows = _staged(cleaning.last_per_order(_of(spark, root, "sales", affected), ARRIVAL, within=("batch_id",)), "settled-sales")
+    carried = _derived(spark, root, "order_ids", before, counted)
+    if before:
+        _write(carried, root, "order_ids", load)
     keys = ["batch_id", "order_id"]
+    # ids stored without a count may come twice
+    twice = counts.unionByName(carried).where("n IS NULL OR n > 1").select(*keys)
+    apart = staged(twice.unionByName(contested).distinct(), "orders-apart")
+    sales = _of(spark, root, "sales", affected)
+    rows = staged(cleaning.last_per_order(sales.join(apart, keys, "left_semi"), ARRIVAL, within=("batch_id",)), "settled-sales", tables.COMPRESSION)
     _write(rows.join(contested, keys, "left_semi"), root, "contested_sales", load)
-    for name, frame in partials.sales_partials(rows.join(contested, keys, "left_anti")).items():
+    plain = sales.join(apart, keys, "left_anti")
+    for name, frame in partials.sales_partials(plain.unionByName(rows.join(contested, keys, "left_anti"))).items():
         _write(frame, root, f"partial_{name}", load)
     _finish_load(spark, root, load, affected)
 

@@ -7,9 +7,16 @@ and lets lost executors re-read what they need.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillworks.session import released_shuffles
+
+# Stored rows hold long keys; it halves them.
+COMPRESSION = "zstd"
 ROLLED_BACK = "rolled_back"
 STATUSES = (
     "uploaded", "raw_loaded", "clean_loaded", "completed", "cancel_requested", "cancelled", "failed", ROLLED_BACK,
@@ -25,8 +32,33 @@ def append_rows(df: DataFrame, path: str) -> None:
 
     Other batches stay as they are, so a step that failed can simply run again.
     """
-    rows = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    rows.partitionBy("batch_id").parquet(path)
+    rows = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", COMPRESSION)
+    with released_shuffles(df.sparkSession):
+        rows.partitionBy("batch_id").parquet(path)
+
+
+def append_parts(spark: SparkSession, parts: Iterable[DataFrame], path: str) -> list[str]:
+    """Store the rows of some batches that come in several frames, each worked out alone.
+
+    What is shuffled for one frame is gone before the next. As in ``append_rows`` the batches
+    that have rows replace themselves, when all frames have been written. Returns their names.
+    """
+    fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    for part in parts:
+        with released_shuffles(spark):
+            part.write.mode("append").option("compression", COMPRESSION).partitionBy("batch_id").parquet(fresh)
+    written = spark.read.schema("batch_id string").parquet(fresh).distinct().collect()  # one name per upload
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    files = folder(fresh).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder(path))
+    for status in files.listStatus(folder(fresh)):
+        if status.isDirectory():
+            to = folder(folder(path), status.getPath().getName())
+            files.delete(to, True)
+            if not files.rename(status.getPath(), to):
+                raise OSError(f"cannot put {status.getPath()} to {to}")
+    files.delete(folder(fresh), True)
+    return sorted(r["batch_id"] for r in written)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

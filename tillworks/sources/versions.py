@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillworks.session import released_shuffles
 from tillworks.sources import tables
 
 ENTRY = "version string, number bigint, name string, path string, loads array<string>, at timestamp"
@@ -60,7 +61,8 @@ class Rebuild:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write a mart into this version and read it back; nobody else sees it yet."""
         path = f"versions/{self.version}/{name}"
-        df.write.parquet(f"{self.root}/{path}")
+        with released_shuffles(self.spark):
+            df.write.parquet(f"{self.root}/{path}")
         self.saved[name] = (path, None)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{path}")
 
