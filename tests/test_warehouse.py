@@ -405,3 +405,18 @@ def test_the_lines_of_a_store_are_joined_in_parts(spark, sf_dir, monkeypatch):
     parts = [part.collect() for part in catalog_store.sales_parts(spark, sf_dir)]
     assert len(parts) > 2 and all(len(part) < 4_000 for part in parts)
     assert sorted(row for part in parts for row in part) == sorted(whole.collect())
+
+
+@pytest.mark.parametrize("name", ["read_during_rebuild"])
+def test_a_store_loaded_in_parts_shows_the_same(spark, sf_dir, tmp_path, monkeypatch, name):
+    from tillworks.plans import catalog_store
+
+    show = getattr(catalog_store, name)
+    plain = sorted(map(str, show(spark, sf_dir).collect()))
+    monkeypatch.setattr(catalog_store, "_STORES", {})
+    monkeypatch.setattr(catalog_store, "PART_BYTES", 60_000)
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    assert sorted(map(str, show(spark, sf_dir).collect())) == plain
+    # before, the store's rows and order ids were written a second time; now only the corrected orders are, from both batches
+    fixed = sum(catalog_store.corrected(part).count() for part in catalog_store.sales_parts(spark, sf_dir))
+    assert spark.read.parquet(*[str(p) for p in tmp_path.glob("settled-sales-*")]).count() == 2 * fixed
