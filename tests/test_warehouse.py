@@ -407,7 +407,7 @@ def test_the_lines_of_a_store_are_joined_in_parts(spark, sf_dir, monkeypatch):
     assert sorted(row for part in parts for row in part) == sorted(whole.collect())
 
 
-@pytest.mark.parametrize("name", ["read_during_rebuild", "mart_rebuild"])
+@pytest.mark.parametrize("name", ["read_during_rebuild", "mart_rebuild", "batch_rollback"])
 def test_a_store_loaded_in_parts_shows_the_same(spark, sf_dir, tmp_path, monkeypatch, name):
     from tillworks.plans import catalog_store
 
