@@ -24,7 +24,7 @@ from tillworks.sources.versions import Rebuild, Snapshot
 CORRECTION = "sales-correction"
 
 
-# Bytes of lineitem files whose lines are joined at a time; what is shuffled for them is about five times as much.
+# Bytes of lineitem files whose lines are joined at a time; what is shuffled for them is about eight times as much.
 PART_BYTES = 256 << 20
 
 
